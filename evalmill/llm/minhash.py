@@ -187,7 +187,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield {"cid": b.column(0), "blob": [shingles(t, size).tobytes() for t in b.column(1).to_pylist()]}
 
     wanted = multi.select("cid").distinct()
-    sets = scratch(map_batches(docs.select(F.col(id_col).cast("long").alias("cid"), F.col(text_col).alias("t")).join(wanted, "cid", "left_semi"), blobs, "cid long, blob binary"), "sets")
+    sets = scratch(map_batches(docs.select(F.col(id_col).cast("long").alias("cid"), F.col(text_col).alias("t")).join(wanted.hint("merge"), "cid", "left_semi"), blobs, "cid long, blob binary"), "sets")
     release(spark)
     links = scratch(verified(stars, sets, num, den), "links")
     release(spark)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalmill.llm import bpe, decontam, langid, minhash, quality, secret_scan, toxicity
+from evalmill.llm import bpe, decontam, langid, minhash, pitman_yor, quality, secret_scan, suffix_repeats, toxicity, warc
 from evalmill.llm.common import crc_mod, read_table
 
 
@@ -25,6 +25,18 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text", (crc_mod("doc_id", 4) == 2).alias("held_out")), net).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op3_warc_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as monolithic gzip archives, rewritten member by member, and read back by the index."""
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return warc.round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op4_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes covered by strings of 400 bytes that start elsewhere too, removed."""
+    found = suffix_repeats.removal(_docs(spark, sf_dir))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity by the weighted lexicon, learned on the folds that are not held out."""
     docs = _docs(spark, sf_dir)
@@ -37,6 +49,12 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_docs(spark, sf_dir)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op7_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model scores of every text, learned on the folds that are not held out."""
+    docs = _docs(spark, sf_dir).withColumn("held_out", crc_mod("doc_id", 7) == 2)
+    return pitman_yor.score(docs).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_secret_lexing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base and lexed spans of secrets of every text."""
     return secret_scan.scan(_docs(spark, sf_dir)).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
@@ -52,11 +70,18 @@ def op10_minhash_circulant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_docs(spark, sf_dir), num=85, den=100)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_divergence, op2_language_id, op5_toxicity_lexicon, op6_byte_bpe, op8_secret_lexing, op9_decontaminate, op10_minhash_circulant)}
+QUERIES = {f.__name__: f for f in (op1_quality_divergence, op2_language_id, op3_warc_members, op4_suffix_repeats, op5_toxicity_lexicon, op6_byte_bpe, op7_pitman_yor, op8_secret_lexing, op9_decontaminate, op10_minhash_circulant)}
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE: dict[str, str] = {
+    "op3_warc_members": """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first_id FROM p WHERE payload_bytes >= 100 GROUP BY 1)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN first_id IS NOT NULL AND page_id IS DISTINCT FROM first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first_id IS NOT NULL AND page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
+FROM p LEFT JOIN f USING (payload_digest)""",
     "op9_decontaminate": rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),

@@ -72,7 +72,14 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.em_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what ``scratch`` wrote, once nothing reads it any more."""
+    remove(df.sparkSession.sparkContext, df.em_path)
 
 
 def release(spark: SparkSession) -> None:

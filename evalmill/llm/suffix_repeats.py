@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evalmill.llm.common import append_columns, map_batches, release, scratch, small_batches
+from evalmill.llm.common import append_columns, discard, map_batches, release, scratch, small_batches
 from evalmill.llm.shingles import _BYTES, mix, powers
 
 LENGTH = 400
@@ -159,18 +159,24 @@ def _cut(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 
 
 def repeat_groups(segments: DataFrame, length: int) -> DataFrame:
-    """Spans (th, nb, start, end) with the left and right extents of their maximal repeat group and its size, from groups in order."""
+    """(th, nb, start, end, members) of each segment that has a maximal repeat: all its repeats hold the anchor, so their union is one span; members is the largest group's size."""
 
     def flush(rows: list[tuple], out: list[tuple]) -> None:
         held: dict[tuple[bytes, int], int] = {}
         for k, r in enumerate(rows):
             held.setdefault((r[7], r[6] - r[4]), k)
         members = list(held)
+        if len(members) < 2:
+            return
+        reach: dict[int, tuple[int, int, int]] = {}
         for left, right, group in maximal_repeats(members, length):
             for m in group:
-                _, c, th, nb, _, _, a, _ = rows[held[members[m]]]
-                if c == 1:
-                    out.append((th, nb, a - left, a + right, len(group)))
+                x, y, n = reach.get(m, (0, 0, 0))
+                reach[m] = max(x, left), max(y, right), max(n, len(group))
+        for m, (left, right, n) in reach.items():
+            _, c, th, nb, _, _, a, _ = rows[held[members[m]]]
+            if c == 1:
+                out.append((th, nb, a - left, a + right, n))
 
     def emit(out):
         cols = zip(*out, strict=True) if out else [[]] * 5
@@ -228,16 +234,18 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     release(spark)
     whole = runs_.join(segs.filter("c > 1").select("gram", "seg"), ["gram", "seg"], "left_semi").select("th", "nb", F.col("s").alias("start"), (F.col("e") + length).alias("end")).distinct()
     whole = scratch(whole, "whole")
+    discard(runs_)
     release(spark)
     several = segs.groupBy("gram").agg(F.count("*").alias("k")).filter("k > 1")
     wanted = segs.join(several, "gram").select("gram", "c", "at.*", "k")
     small = _cut(texts, wanted.filter(F.col("k") <= group), length)
-    near = scratch(repeat_groups(small, length).select("th", "nb", "start", "end").distinct(), "near")
+    near = scratch(repeat_groups(small, length).select("th", "nb", "start", "end"), "near")
     release(spark)
     found = whole.union(near)
     large = wanted.filter(F.col("k") > group)
     if not several.filter(F.col("k") > group).isEmpty():
-        found = found.union(_counted_windows(scratch(_cut(texts, large, length), "large"), length).distinct())
+        found = found.union(scratch(_counted_windows(scratch(_cut(texts, large, length), "large"), length).distinct(), "windows"))
+    discard(segs)
     return found.groupBy("th", "nb").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 

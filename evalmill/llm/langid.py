@@ -23,6 +23,8 @@ from evalmill.llm.common import append_columns, small_batches
 #: At most so many rows of each language, and so many languages (the most frequent), are learned from.
 ROWS_A_LANGUAGE = 300
 LANGUAGES = 64
+#: Characters of a row that are learned from: a stretch whose place the hash gives.
+STRETCH = 4096
 HIDDEN = 8
 SEGMENT = 128
 LANES = 4096
@@ -189,7 +191,7 @@ def train(df: DataFrame, text_col: str = "text", label_col: str = "lang", id_col
     edge = F.lit(-1)
     for r in counts:
         edge = F.when(F.col("y") == r[0], F.lit(min(1 << 40, int((1 << 40) * 1.5 * (rows_a_language + 30) / r[1])))).otherwise(edge)
-    rows = known.filter(F.col("h") < edge).select("y", "h", F.substring("t", 1, 4096).alias("t")).orderBy("h", "y", "t").limit(4 * rows_a_language * len(languages)).collect()
+    rows = known.filter(F.col("h") < edge).select("y", "h", F.expr(f"substring(t, cast(1 + pmod(h, greatest(1, length(t) - {STRETCH} + 1)) as int), {STRETCH})").alias("t")).orderBy("h", "y", "t").limit(4 * rows_a_language * len(languages)).collect()
     got: dict[str, list[bytes]] = {y: [] for y in languages}
     for y, _, t in rows:
         if len(got[y]) < rows_a_language:

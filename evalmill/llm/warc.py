@@ -184,7 +184,8 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
     def emit(rows):
         return dict(zip(("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload"), map(list, zip(*rows, strict=True)), strict=True))
 
-    dealt = archives.select("archive", "index").repartition(F.col("archive"))
+    # the list of archives is small, so its partitions would be joined into one: ask for one an archive
+    dealt = archives.select("archive", "index").repartition(max(1, archives.count()), "archive")
     return map_batches(dealt, run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary")
 
 

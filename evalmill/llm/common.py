@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: ASCII letters only, as the contracts' "lower-case A-Z".
-BATCH_BYTES = 16 << 20
+#: Text in one Arrow batch; it is held several times over, in the JVM's buffers, in the stream and as Python strings.
+BATCH_BYTES = 4 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -96,6 +96,7 @@ def map_batches(df: DataFrame, fn: Callable[[Iterable[pa.RecordBatch]], Iterator
     def run(batches):
         for cols in fn(batches):
             yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], type=f.type) if not isinstance(cols[f.name], pa.Array) else cols[f.name].cast(f.type) for f in arrow], schema=arrow)
+        pa.default_memory_pool().release_unused()  # the worker lives on for later tasks
 
     return df.mapInArrow(run, struct)
 
@@ -112,6 +113,7 @@ def append_columns(df: DataFrame, inputs: list[str], fn: Callable[..., dict], fi
         for batch in batches:
             made = fn(*(batch.column(i).to_pylist() for i in at))
             yield pa.RecordBatch.from_arrays([batch.column(i).cast(arrow.field(i).type) for i in range(width)] + [pa.array(made[f.name], type=f.type) for f in new], schema=arrow)
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, struct)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from evalmill.functions import calls as C
 from evalmill.functions import text as X
-from evalmill.operators import actions, battles, conversation, relational, retrieval, scoring, similarity, synthesis
+from evalmill.operators import actions, battles, conversation, relational, retrieval, scoring, services, similarity, synthesis
 from evalmill.sources.tables import shared_folder, stored, table
 from evalmill.streaming import rates
 
@@ -496,4 +496,100 @@ def dependency_levels(spark, d):
     return relational.dag_levels(c.select("id"), edges).select("id", F.col("level").cast("long").alias("level"))
 
 
+@query("SELECT conv_id, turn FROM conversations WHERE contains(lower(text), 'tion') OR lower(role) = 'tion'")
+def search_posts(spark, d):
+    posts = table(spark, d, "conversations").withColumn("tags", F.array("role"))
+    return services.search(posts, "Tion", "text", "tags").select("conv_id", "turn")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate <= TIMESTAMP '1997-06-30'")
+def date_range_filter(spark, d):
+    return table(spark, d, "orders").filter(services.within(F.col("o_orderdate"), F.lit("1996-01-01").cast("timestamp"), F.lit("1997-06-30").cast("timestamp"))).select("o_orderkey")
+
+
+#: Rates of the query below; names of no real currency.
+RATES = [("aa", "bb", 2.0), ("bb", "cc", 4.0), ("cc", "aa", 0.25)]
+
+
+@query("""WITH r AS (SELECT * FROM (VALUES ('aa', 'bb', 2.0::DOUBLE), ('bb', 'cc', 4.0::DOUBLE), ('cc', 'aa', 0.25::DOUBLE)) t(a, b, rate)),
+x AS (SELECT c_custkey, ['aa', 'bb', 'cc'][c_nationkey % 3 + 1] AS source, ['aa', 'bb', 'cc', 'dd'][c_custkey % 4 + 1] AS target, c_acctbal FROM customer)
+SELECT c_custkey, source, target, round(CASE WHEN source = target THEN c_acctbal WHEN s.rate IS NOT NULL THEN c_acctbal * s.rate ELSE c_acctbal / t.rate END, 4) AS converted
+FROM x LEFT JOIN r s ON s.a = source AND s.b = target LEFT JOIN r t ON t.b = source AND t.a = target""")
+def currency_exchange(spark, d):
+    names = lambda *v: F.array(*map(F.lit, v))
+    amounts = table(spark, d, "customer").select("c_custkey", F.get(names("aa", "bb", "cc"), F.col("c_nationkey") % 3).alias("source"), F.get(names("aa", "bb", "cc", "dd"), (F.col("c_custkey") % 4).cast("int")).alias("target"), "c_acctbal")
+    return services.exchange(amounts, spark.createDataFrame(RATES, "base string, quote string, rate double"), "source", "target", "c_acctbal").select("c_custkey", "source", "target", F.round("converted", 4).alias("converted"))
+
+
+@query("SELECT l_returnflag, count(l_quantity) AS n, sum(l_quantity) AS total, round(avg(l_quantity), 6) AS mean, round(stddev_pop(l_quantity), 6) AS deviation, min(l_quantity) AS least, max(l_quantity) AS greatest FROM lineitem GROUP BY 1")
+def population_stats(spark, d):
+    return services.population_stats(table(spark, d, "lineitem"), "l_returnflag", "l_quantity").withColumns({c: F.round(c, 6) for c in ("mean", "deviation")})
+
+
+@query("SELECT event_type, count(*) AS n_received, count(DISTINCT user_id) AS n_contacts FROM events GROUP BY 1")
+def contact_stats(spark, d):
+    return services.contact_stats(table(spark, d, "events"), "event_type", "user_id")
+
+
+@query("SELECT user_id, min(ts) AS first_start, max(ts) AS last_end, count(*) AS n_calls, round(sum(value), 4) AS total_value FROM events GROUP BY 1")
+def usage_totals(spark, d):
+    return services.usage(table(spark, d, "events"), "user_id", "ts", "ts", "value").withColumn("total_value", F.round("total_value", 4))
+
+
+@query("""SELECT array_to_string(p[1:i], '/') AS folder, CAST(sum(n) AS BIGINT) AS n_bytes, count(*) AS n_files
+FROM (SELECT n, p, unnest(generate_series(1, len(p))) AS i FROM (SELECT strlen(html) AS n, string_split(regexp_replace(url, '^[a-z]+://', ''), '/') AS p FROM pages)) GROUP BY 1""")
+def folder_sizes(spark, d):
+    pages = table(spark, d, "pages").select(F.regexp_replace("url", "^[a-z]+://", "").alias("path"), F.octet_length("html").cast("long").alias("n"))
+    return services.folder_sizes(pages, "path", F.col("n"))
+
+
+@query("SELECT doc_id, CAST(len(list_filter(range(1, len(a) + 1), lambda i: a[i] <> b[i])) AS BIGINT) AS n_differences FROM (SELECT doc_id, string_split(text, chr(10)) AS a, list_sort(string_split(text, chr(10))) AS b FROM documents)")
+def line_differences(spark, d):
+    lines = F.split("text", "\n")
+    return table(spark, d, "documents").select("doc_id", F.size(services.line_differences(lines, F.array_sort(lines))).cast("long").alias("n_differences"))
+
+
+@query("SELECT o_orderkey, CAST(list_sum(list_transform(regexp_extract_all(strftime(o_orderdate, '%Y-%m-%d'), '[0-9]'), lambda x: CAST(x AS INT))) AS BIGINT) AS digit_sum FROM orders")
+def digit_sum_of_dates(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", services.digit_sum(F.date_format("o_orderdate", "yyyy-MM-dd")).cast("long").alias("digit_sum"))
+
+
+@query("SELECT p_partkey, regexp_full_match(replace(p_name, ' ', '_'), '[a-z]+(_[a-z0-9]+)*') AS valid_name, regexp_full_match(lower(p_brand), '[a-z]+(_[a-z0-9]+)*') AS valid_brand FROM part")
+def memory_key_rules(spark, d):
+    return table(spark, d, "part").select("p_partkey", services.is_memory_key(F.replace("p_name", F.lit(" "), F.lit("_"))).alias("valid_name"), services.is_memory_key(F.lower("p_brand")).alias("valid_brand"))
+
+
+@query("SELECT user_id, CASE WHEN count(*) FILTER (event_type IN ('error', 'purchase')) > 0 THEN format('{:.2f}', count(*) FILTER (event_type = 'purchase') / count(*) FILTER (event_type IN ('error', 'purchase'))) ELSE 'N/A' END AS share FROM events GROUP BY 1")
+def success_share(spark, d):
+    n = table(spark, d, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "purchase").alias("p"), F.count_if(F.col("event_type") == "error").alias("f"))
+    return n.select("user_id", services.success_share(F.col("p"), F.col("f")).alias("share"))
+
+
+@query("SELECT range AS doc_id FROM range(100000) WHERE range NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
+def missing_parts(spark, d):
+    return services.missing_numbers(spark, 100_000, table(spark, d, "labels"), "doc_id")
+
+
+@query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1")
+def newest_snapshot(spark, d):
+    return services.newest(table(spark, d, "events"), "user_id", ["ts", "event_id"], "event_type", "event_id")
+
+
+@query("SELECT c_custkey, [a.n_name, b.n_name] AS names FROM customer JOIN nation a ON a.n_nationkey = c_nationkey JOIN nation b ON b.n_nationkey = (c_nationkey + 7) % 25")
+def lookup_expand(spark, d):
+    lists = table(spark, d, "customer").select("c_custkey", F.array(F.col("c_nationkey"), (F.col("c_nationkey") + 7) % 25).alias("keys"))
+    return services.expand(lists, "c_custkey", "keys", table(spark, d, "nation"), "n_nationkey", "n_name").withColumnRenamed("values", "names")
+
+
+@query("SELECT p_partkey, p_name FROM part ORDER BY p_name, p_partkey LIMIT 10 OFFSET 20")
+def page_of_rows(spark, d):
+    return table(spark, d, "part").select("p_partkey", "p_name").orderBy("p_name", "p_partkey").offset(20).limit(10)
+
+
+@query("SELECT c_custkey, n_orders, c_acctbal FROM (SELECT c_custkey, coalesce(n, 0) AS n_orders, c_acctbal FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey) ORDER BY n_orders DESC, c_acctbal DESC, c_custkey LIMIT 25")
+def top_with_tie_break(spark, d):
+    n = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n_orders"))
+    return table(spark, d, "customer").join(n, "c_custkey", "left").select("c_custkey", F.coalesce("n_orders", F.lit(0)).alias("n_orders"), "c_acctbal").orderBy(F.desc("n_orders"), F.desc("c_acctbal"), "c_custkey").limit(25)
+
+
 __all__ = ["ORACLE", "QUERIES"]

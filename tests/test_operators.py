@@ -86,3 +86,17 @@ def test_replay(spark):
 def test_rating_file(spark):
     lines = spark.createDataFrame(list(enumerate(["Search:", "x: 1200.5", "y z: 900.25", "", "Math:", "x: 1.5"])), "line_no int, value string")
     assert rows(rating_file(lines), "category", "name", "rating") == [("Math", "x", 1.5), ("Search", "x", 1200.5), ("Search", "y z", 900.25)]
+
+
+def test_services(spark):
+    from evalmill.operators import services
+
+    got = spark.range(1).select(services.greedy_match(F.expr("array(array(true, true), array(true, false), array(false, true))")).alias("m"), services.greedy_match(F.expr("cast(array() as array<array<boolean>>)")).alias("e")).first()
+    assert got.m == [0, -1, 1] and got.e == []
+    got = spark.sql("SELECT array('a', 'b', 'c') AS x, array('a', 'z') AS y, cast(array() AS array<string>) AS n").select(services.line_differences(F.col("x"), F.col("y")).alias("d"), services.line_differences(F.col("x"), F.col("n")).alias("none")).first()
+    assert [tuple(r) for r in got.d] == [(1, "b", "z")] and got.none == []
+    rows = spark.createDataFrame([(None,), ("a_b1",), ("a__b",), ("ab\n",), ("1a",)], "k string").select(services.is_memory_key(F.col("k"))).collect()
+    assert [r[0] for r in rows] == [False, True, False, False, False]
+    d = spark.createDataFrame([(1, None, ["Red"]), (2, "reddish", None), (3, "blue", [])], "id int, t string, tags array<string>")
+    assert sorted(r.id for r in services.search(d, "RED", "t", "tags").collect()) == [1, 2]
+    assert spark.range(1).select(services.success_share(F.lit(0), F.lit(None).cast("int"))).first()[0] == "N/A"

@@ -374,17 +374,17 @@ def _rows(spark, d):
 
 
 @query()
-def raft_completion(spark, d):
+def synthesis_completion(spark, d):
     return synthesis.completion(_rows(spark, d))
 
 
 @query()
-def raft_chat(spark, d):
+def synthesis_chat(spark, d):
     return synthesis.chat(_rows(spark, d), "You answer from the documents.").select("id", F.to_json("messages").alias("messages"))
 
 
 @query()
-def raft_eval(spark, d):
+def synthesis_eval(spark, d):
     return synthesis.evaluation(_rows(spark, d))
 
 
@@ -478,12 +478,37 @@ def decode_and_check_calls(spark, d):
     return made.mapInPandas(run, "c_custkey long, valid boolean, error_type string, decoded string")
 
 
-@query()
-def replay_services(spark, d):
-    """Orders replayed as calls of a simulated brokerage, one session a customer."""
+def _orders_as_calls(spark, d) -> DataFrame:
+    """A session a customer: an open market, a log-in, and an order a row of orders."""
     o = table(spark, d, "orders")
-    args = F.to_json(F.struct(F.lit("Buy").alias("kind"), F.col("o_orderpriority").alias("symbol"), F.round(F.col("o_totalprice") / 1000, 2).alias("price"), F.lit(10).alias("amount")))
-    return actions.replay(o.select(F.col("o_custkey").cast("string").alias("session"), F.lit("brokerage").alias("service"), F.lit("place_order").alias("method"), args.alias("args"), F.col("o_orderkey").alias("ord")))
+    args = F.to_json(F.struct(F.lit("Buy").alias("order_type"), F.element_at(F.array(*[F.lit(x) for x in ("AAPL", "ZETA", "NONE")]), (F.col("o_orderkey") % 3 + 1).cast("int")).alias("symbol"), F.round(F.col("o_totalprice") / 1000, 2).alias("price"), F.lit(10).alias("amount")))
+    one = o.select(F.col("o_custkey").cast("string").alias("session"), F.lit("trading").alias("service"), F.lit("place_order").alias("method"), args.alias("args"), F.col("o_orderkey").alias("ord"))
+    first = one.select("session", "service").distinct()
+    load = first.select("*", F.lit("load").alias("method"), F.lit('{"market_status": "Open", "orders": {}, "order_counter": 1}').alias("args"), F.lit(-2).cast("long").alias("ord"))
+    login = first.select("*", F.lit("trading_login").alias("method"), F.lit('{"username": "u", "password": "p"}').alias("args"), F.lit(-1).cast("long").alias("ord"))
+    return one.union(load).union(login)
+
+
+#: A call's result by hand: loading gives null, logging in a status, and an order its echo or the reason why not.
+_REPLAYED = """SELECT CAST(o_custkey AS VARCHAR) AS session, o_orderkey AS ord, o_orderkey % 3 <> 2 AND round(o_totalprice / 1000, 2) > 0 AND round(o_totalprice / 1000, 2) * 10 <= 10000.0 AS placed FROM orders
+UNION ALL SELECT DISTINCT CAST(o_custkey AS VARCHAR), CAST(x AS BIGINT), NULL FROM orders, (VALUES (-2), (-1)) v(x)"""
+
+
+@query(_REPLAYED)
+def replay_services(spark, d):
+    """Orders replayed as calls of a simulated brokerage: whether each was placed."""
+    done = actions.replay(_orders_as_calls(spark, d))
+    return done.select("session", "ord", F.when(F.col("ord") >= 0, F.get_json_object("result", "$.status").eqNullSafe("Pending")).alias("placed"))
+
+
+@query("""SELECT CAST(o_custkey AS VARCHAR) AS session, bool_and(o_orderkey % 5 <> 0) AS valid, CASE WHEN bool_and(o_orderkey % 5 <> 0) THEN NULL ELSE 'multi_turn:empty_turn_model_response' END AS error_type,
+min(CASE WHEN o_orderkey % 5 = 0 THEN o_orderkey END) AS turn FROM orders GROUP BY 1""")
+def check_turns(spark, d):
+    """Sessions of two sides that differ where the model leaves out every order whose key five divides."""
+    calls = _orders_as_calls(spark, d)
+    both = calls.select("*", F.col("ord").alias("turn"), F.when(F.col("ord") >= 0, F.lit("truth")).alias("side"))
+    model = calls.filter("ord >= 0").select("session", "service", F.when(F.col("ord") % 5 != 0, F.col("method")).alias("method"), "args", "ord", F.col("ord").alias("turn"), F.lit("model").alias("side"))
+    return actions.check_turns(both.unionByName(model))
 
 
 @query("""WITH RECURSIVE l AS (SELECT conv_id * 1000 + turn AS id, 0 AS level FROM conversations c WHERE turn = (SELECT min(turn) FROM conversations x WHERE x.conv_id = c.conv_id)

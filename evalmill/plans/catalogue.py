@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evalmill.functions import calls as C
+from evalmill.functions import schemas, source_calls
 from evalmill.functions import text as X
 from evalmill.operators import actions, battles, conversation, relational, retrieval, scoring, services, similarity, synthesis
 from evalmill.sources.tables import shared_folder, stored, table
@@ -478,6 +479,52 @@ def decode_and_check_calls(spark, d):
     return made.mapInPandas(run, "c_custkey long, valid boolean, error_type string, decoded string")
 
 
+#: One call in each style; %1$s is a name, %2$d a number.
+STYLES = {
+    "python": "[lookup(name='%1$s', nation=%2$d)]", "json": '[{"name": "lookup", "arguments": {"name": "%1$s", "nation": %2$d}}]', "tagged": '<tool_call>{"name": "lookup", "arguments": {"name": "%1$s", "nation": %2$d}}</tool_call>',
+    "two_lines": 'lookup\n{"name": "%1$s", "nation": %2$d}', "xml": '<functions><function name="lookup"><params><param name="name" value="%1$s" type="string"/><param name="nation" value="%2$d" type="integer"/></params></function></functions>',
+    "java": 'lookup(name="%1$s", nation=%2$d)', "javascript": "lookup(name='%1$s', nation=%2$d);", "tail": '<|tool_call|>[{"name": "lookup", "arguments": {"name": "%1$s", "nation": %2$d}}]', "upper_tag": "<TOOLCALL>[lookup(name='%1$s', nation=%2$d)]</TOOLCALL>",
+    "python_tag": '<|python_tag|>{"name": "lookup", "parameters": {"name": "%1$s", "nation": %2$d}}', "function_split": "<<function>>lookup(name='%1$s', nation=%2$d)", "braces": "<start_function_call>call:lookup{name:<escape>%1$s<escape>,nation:%2$d}<end_function_call>", "unknown": "%1$s %2$d",
+}
+_LOOKUP = [{"name": "lookup", "description": "Looks up.", "parameters": {"type": "dict", "properties": {"name": {"type": "String", "description": "Name."}, "nation": {"type": "integer", "description": "Nation."}}, "required": ["name"]}}]
+
+
+@query(f"""SELECT c_custkey, style, CASE WHEN style <> 'unknown' THEN '[{{"lookup": {{"name": "' || c_name || '", "nation": ' || c_nationkey || '}}}}]' END AS decoded,
+CASE WHEN style = 'unknown' THEN 'ast_decoder:decoder_failed' END AS error_type FROM customer, (VALUES {", ".join(f"('{s}')" for s in STYLES)}) v(style)""")
+def decode_styles(spark, d):
+    """A call of each customer written in every style and decoded again."""
+    texts = F.array(*[F.struct(F.lit(s).alias("style"), F.format_string(t, "c_name", "c_nationkey").alias("text")) for s, t in STYLES.items()])
+    made = table(spark, d, "customer").select("c_custkey", F.explode(texts).alias("x")).select("c_custkey", "x.style", "x.text")
+
+    def run(frames):
+        for pdf in frames:
+            rows = []
+            for key, style, text in pdf.itertuples(index=False, name=None):
+                calls, error = source_calls.decode(style, text)
+                if calls and style in ("java", "javascript"):
+                    calls = source_calls.typed_source(calls, _LOOKUP, style)
+                rows.append((key, style, C.canon(calls) if calls is not None else None, error))
+            yield pd.DataFrame(rows, columns=["c_custkey", "style", "decoded", "error_type"])
+
+    return made.mapInPandas(run, "c_custkey long, style string, decoded string, error_type string")
+
+
+@query("""SELECT p_partkey, '<function name="part.' || p_partkey || '">' || chr(10) || '  <desc>' || p_name || '</desc>' || chr(10) || '  <params>' || chr(10) || '    ' || '    <param name="size" type="integer" required="true">' || chr(10) || '          <desc>' || p_brand || '</desc>' || chr(10) || '        </param>' || chr(10) || '  </params>' || chr(10) || '</function>' || chr(10) AS xml,
+'part_' || p_partkey AS tool_name, CAST(0 AS BIGINT) AS n_problems FROM part""")
+def function_descriptions(spark, d):
+    """A function a part: rendered, as a tool, and validated."""
+
+    def run(frames):
+        for pdf in frames:
+            rows = []
+            for key, name, brand in pdf.itertuples(index=False, name=None):
+                fn = {"name": f"part.{key}", "description": name, "parameters": {"type": "dict", "properties": {"size": {"type": "integer", "description": brand}}, "required": ["size"]}}
+                rows.append((key, schemas.as_xml([fn]), schemas.tools([fn], "completions")[0]["function"]["name"], len(schemas.problems(fn))))
+            yield pd.DataFrame(rows, columns=["p_partkey", "xml", "tool_name", "n_problems"])
+
+    return table(spark, d, "part").select("p_partkey", "p_name", "p_brand").mapInPandas(run, "p_partkey long, xml string, tool_name string, n_problems long")
+
+
 def _orders_as_calls(spark, d) -> DataFrame:
     """A session a customer: an open market, a log-in, and an order a row of orders."""
     o = table(spark, d, "orders")

@@ -255,6 +255,36 @@ def test_pitman_yor(spark):
     assert pitman_yor.score(df.withColumn("held_out", F.lit(True))).count() == len(texts)
 
 
+def test_pitman_yor_scores_words_in_their_context(spark):
+    rng = random.Random(9)
+    after = {w: rng.sample("abcdefghijkl", 2) for w in "abcdefghijkl"}
+    texts = []
+    for _ in range(80):
+        t = [rng.choice("abcdefghijkl")]
+        while len(t) < 40:
+            t.append(rng.choice(after[t[-1]]))
+        texts.append(" ".join(t))
+    shuffled = [" ".join(rng.sample(t.split(), 40)) for t in texts[60:]]
+    df = docs(spark, texts + shuffled).withColumn("held_out", F.col("doc_id") >= 60)
+    got = by_id(pitman_yor.score(df), "base_score", "score")
+    for i in range(20):
+        assert math.isclose(got[60 + i][0], got[80 + i][0], rel_tol=1e-9) and got[60 + i][1] > got[80 + i][1] + 10
+
+
+@pytest.mark.parametrize("hot", [pitman_yor.HOT, 2])
+def test_context_probabilities_sum_to_one(spark, monkeypatch, hot):
+    monkeypatch.setattr(pitman_yor, "HOT", hot)
+    words, contexts = [b"a", b"bc", b"c", b"dd", b"never"], [1, 2, 3]
+    c = {(1, 0): 9, (1, 1): 1, (2, 0): 1, (2, 2): 5, (2, 3): 2}  # context 3 taught nothing
+    count = [sum(n for (_, w), n in c.items() if w == i) for i in range(len(words))]
+    types = spark.createDataFrame([(w, i, count[i]) for i, w in enumerate(words)], "token binary, b long, c long")
+    pairs = spark.createDataFrame([(u, i, c.get((u, i), 0), [(u, i)]) for u in contexts for i in range(len(words))], "a long, b long, c long, at array<struct<part:long,pos:int>>")
+    told, total = pitman_yor.fit(types, pairs, 3, 1, False)
+    p = {tuple(r["at"][0]): 10 ** r["s"] for r in told.collect()}
+    assert total == 18 and len(p) == 15 and all(math.isclose(sum(p[u, i] for i in range(len(words))), 1, rel_tol=1e-6) for u in contexts)
+    assert p[1, 0] > p[3, 0] > p[2, 0] and p[2, 2] > p[3, 2] > p[1, 2]
+
+
 def test_probabilities_sum_to_one():
     words = [bytes([a, b]) for a in b"abc" for b in b"abc"]
     context, dish, owner = pitman_yor.spelled(words)

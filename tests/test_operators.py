@@ -47,6 +47,14 @@ def test_dag_levels(spark):
     assert rows(relational.dag_levels(nodes, edges), "id", "level") == [("a", 0), ("b", 1), ("c", 2)]
 
 
+def test_dag_levels_of_long_chains(spark):
+    edges = [(i, i - 1) for i in range(1, 200)] + [(200, 199), (200, 3), (201, 200), (301, 300), (300, 301), (302, 300), (202, 302)]
+    nodes = [*range(202), 300, 301, 302, 202]
+    random.Random(3).shuffle(edges)
+    got = relational.dag_levels(spark.createDataFrame([(i,) for i in nodes], "id long"), spark.createDataFrame(edges, "id long, depends_on long"))
+    assert rows(got, "id", "level") == [(i, i) for i in range(202)]
+
+
 def test_elo(spark):
     assert battles.elo_fold([("a", "b", battles.A)]) == {"a": 1002.0, "b": 998.0}
     rng = random.Random(2)

@@ -364,14 +364,13 @@ p AS (SELECT doc_id AS cid, ('0x' || substring(md5('s' || doc_id), 1, 8))::BIGIN
 SELECT qid, pos, cid FROM (SELECT qid, cid, row_number() OVER (PARTITION BY qid ORDER BY md5('s' || qid || '/' || cid)) - 1 AS pos FROM q JOIN p ON p.b = q.b OR p.b = (q.b + 1) % 256 WHERE cid <> qid) WHERE pos < 4""")
 def distractor_sample(spark, d):
     q, pool = _synth(spark, d)
-    return synthesis.distractors(q.select("qid", "oracle"), pool.select("cid"), 4, "s").withColumn("pos", F.col("pos").cast("long"))
+    return synthesis.bucket_distractors(q.select("qid", "oracle"), pool.select("cid"), 4, "s").withColumn("pos", F.col("pos").cast("long"))
 
 
 def _rows(spark, d):
     q, pool = _synth(spark, d)
-    drawn = synthesis.distractors(q.select("qid", "oracle"), pool.select("cid"), 2, "s").join(pool, "cid")
-    got = drawn.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "passage"))), lambda x: x["passage"]).alias("passages"))
-    return q.join(got, "qid").select(F.col("qid").alias("id"), "question", synthesis.instruction(F.col("passages"), F.col("question")).alias("instruction"), F.concat(F.lit("##Reason <ANSWER>: "), F.col("question")).alias("cot_answer"))
+    got = synthesis.contexts(q.select("qid", "oracle"), pool, 2, "s")
+    return q.join(got, "qid", "left").select(F.col("qid").alias("id"), "question", synthesis.instruction(F.coalesce("passages", F.array().cast("array<string>")), F.col("question")).alias("instruction"), F.concat(F.lit("##Reason <ANSWER>: "), F.col("question")).alias("cot_answer"))
 
 
 @query()

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from evalmill.operators import actions, battles, conversation, relational, retrieval, scoring
+from evalmill.operators import actions, battles, conversation, relational, retrieval, scoring, synthesis
 from evalmill.operators.simulated import SERVICES
 from evalmill.sources.tables import rating_file
 
@@ -194,3 +194,19 @@ def test_undo_log(spark):
     log = spark.createDataFrame([("s", "a", 0, "u0", False), ("s", "a", 1, "u1", True), ("s", "a", 2, "u2", True), ("s", "b", 3, "v", None)], "s string, call string, at int, undo string, ok boolean")
     got = actions.first_true(log, "s", "call", F.col("ok"), "at").collect()
     assert sorted((r.call, r.success or "", tuple(r.failures)) for r in got) == [("a", "u1", ("u0",)), ("b", "", ("v",))]
+
+
+def test_every_question_gets_its_passages(spark):
+    q = spark.createDataFrame([(i, i) for i in range(60)], "qid long, oracle long")
+    for n in (2, 5, 200):
+        pool = spark.createDataFrame([(i, f"p{i}") for i in range(n)], "cid long, passage string")
+        got = rows(synthesis.distractors(q, pool, 4, "s"), "qid", "pos", "cid")
+        for i in range(60):
+            mine = [(p, c) for j, p, c in got if j == i]
+            others = set(range(n)) - {i}
+            assert [p for p, _ in mine] == list(range(min(4, len(others)))) and {c for _, c in mine} <= others and len({c for _, c in mine}) == len(mine)
+    made = {r["qid"]: r["passages"] for r in synthesis.contexts(q, pool, 2, "s").collect()}
+    assert len(made) == 60 and all(len(set(p)) == 3 for p in made.values())
+    at = [p.index(f"p{i}") for i, p in made.items() if f"p{i}" in p]
+    assert 36 <= len(at) < 60 and set(at) == {0, 1, 2}
+    assert all(f"p{i}" in p for i, p in ((r["qid"], r["passages"]) for r in synthesis.contexts(q, pool, 2, "s", p=1.0).collect()))

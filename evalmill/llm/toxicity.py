@@ -8,7 +8,10 @@ makes the score.
 
 The lexicon and the curve are learned from labelled rows: at most
 ``max_rows`` of them, those with the least hash of the id, a bounded sample.
-Scoring reads every text whole.  Null and empty texts have no hits.  Rows whose
+An entry must be
+so much commoner in toxic texts that less than ``CHANCE`` words as good are
+expected by chance, given how many words the sample has; so the support it needs
+follows the sample's size.  Scoring reads every text whole.  Null and empty texts have no hits.  Rows whose
 label is null are not learned from; of a repeated id the larger label counts.
 Without any toxic training row the lexicon is empty and every score is low.
 """
@@ -27,8 +30,7 @@ from pyspark.sql import types as T
 from evalmill.llm.common import append_columns, map_batches, scratch, small_batches
 
 MAX_ROWS = 20_000
-MAX_ENTRIES = 512
-MIN_SUPPORT = 8
+CHANCE = 0.5
 #: Look-alikes and digits, and the letter each stands for.
 LOOKS = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "х": "x", "у": "y", "і": "i", "ѕ": "s", "ј": "j", "ԁ": "d", "һ": "h", "κ": "k", "ο": "o", "α": "a", "ν": "v", "ρ": "p", "τ": "t", "υ": "u", "ı": "i", "ⅼ": "l", "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t"}
 FOLD = str.maketrans(LOOKS | {chr(0xFF41 + k): chr(97 + k) for k in range(26)})
@@ -128,10 +130,43 @@ def fit_curve(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1e-2)
     return tuple(float(b) for b in beta)
 
 
-def choose(pos: dict[str, int], neg: dict[str, int], n_pos: int, n_neg: int, min_odds: float = 3.0) -> dict[str, float]:
+def tail(k: int, n: int, rate: float) -> float:
+    """Chance of at least ``k`` of ``n`` texts being toxic at a rate between 0 and 1."""
+    at = lambda i: math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(rate) + (n - i) * math.log1p(-rate))
+    return min(1.0, sum(map(at, range(k, n + 1))))
+
+
+class Chance:
+    """How many words as good are expected by chance, from ``held``: the number of texts a word is in, and how many such words there are."""
+
+    def __init__(self, held: dict[int, int], n_pos: int, n_neg: int):
+        self.rate = n_pos / max(1, n_pos + n_neg)
+        self.sizes = np.array(sorted(held), dtype=np.int64)
+        self.above = np.append(np.cumsum([held[n] for n in self.sizes[::-1].tolist()], dtype=np.int64)[::-1], 0)
+
+    def words(self, n: int) -> int:
+        """Words in at least ``n`` texts."""
+        return int(self.above[np.searchsorted(self.sizes, n)])
+
+    def expected(self, pos: int, neg: int) -> float:
+        if not 0 < self.rate < 1:
+            return math.inf
+        p = tail(pos, pos + neg, self.rate)
+        # a word in fewer texts can't be as good
+        return max(1, self.words(math.ceil(math.log(max(p, 1e-300)) / math.log(self.rate) - 1e-9))) * p
+
+    def least(self) -> int:
+        """The least number of toxic texts with which an entry can be good enough."""
+        n = 1
+        while 0 < self.rate < 1 and self.expected(n, 0) > CHANCE:
+            n += 1
+        return n
+
+
+def choose(pos: dict[str, int], neg: dict[str, int], n_pos: int, n_neg: int, chance: Chance, min_odds: float = 3.0) -> dict[str, float]:
     """Entries: the longest of each family of prefixes that keeps its support, if much likelier in toxic texts."""
     odds = lambda f: math.log(((pos[f] + 0.5) / (n_pos + 1)) / ((neg.get(f, 0) + 0.5) / (n_neg + 1)))
-    good = {f: w for f in pos if pos[f] >= MIN_SUPPORT and (w := odds(f)) >= min_odds and pos[f] >= 20 * neg.get(f, 0)}
+    good = {f: w for f in pos if (w := odds(f)) >= min_odds and pos[f] >= 20 * neg.get(f, 0) and chance.expected(pos[f], neg.get(f, 0)) <= CHANCE}
     longer: dict[str, str] = {}
     for f in good:  # the best continuation of each prefix by one letter or the word's end
         up = f[:-1]
@@ -144,7 +179,7 @@ def choose(pos: dict[str, int], neg: dict[str, int], n_pos: int, n_neg: int, min
         while f in longer and pos[longer[f]] >= 0.9 * pos[f]:
             f = longer[f]
         out[f] = good[f]
-    return dict(sorted(out.items(), key=lambda e: (-e[1], e[0]))[:MAX_ENTRIES])
+    return dict(sorted(out.items(), key=lambda e: (-e[1], e[0])))
 
 
 def train(docs: DataFrame, labels: DataFrame, fold_filter=None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
@@ -171,11 +206,17 @@ def train(docs: DataFrame, labels: DataFrame, fold_filter=None, id_col: str = "d
 
     def total(want, only, least):
         got = map_batches(sample.filter(F.col("y") == want).select("t"), lambda b: count(b, only), "f string, n long").groupBy("f").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-        return {r[0]: r[1] for r in got.orderBy(F.desc("n"), "f").limit(50_000).collect()}
+        return {r[0]: r[1] for r in got.collect()}
+
+    def words(batches):
+        for b in batches:
+            yield {"w": [w for t in b.column(0).to_pylist() for w in set(_WORD.findall(fold(t))) if 3 <= len(w) <= 24]}
 
-    pos = total(1, None, MIN_SUPPORT) if n_pos else {}
+    held = map_batches(sample.select("t"), words, "w string").groupBy("w").agg(F.count("*").alias("n")).groupBy("n").count().collect() if n_pos and n_neg else []
+    chance = Chance({r[0]: r[1] for r in held}, n_pos, n_neg)
+    pos = total(1, None, chance.least()) if held else {}
     neg = total(0, spark.sparkContext.broadcast(frozenset(pos)), 1) if pos and n_neg else {}
-    lexicon = Lexicon(choose(pos, neg, n_pos, n_neg), exceptions=exceptions)
+    lexicon = Lexicon(choose(pos, neg, n_pos, n_neg, chance), exceptions=exceptions)
     if not lexicon.weights:
         return lexicon
 

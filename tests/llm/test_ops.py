@@ -193,6 +193,26 @@ def test_toxicity(spark):
     assert not toxicity.train(df, lab.limit(0)).weights
 
 
+def test_toxicity_learns_from_few_rows(spark):
+    from corpus_pipeline import toxicity_filter
+
+    d = "/root/testdata/sf0.001"
+    table = spark.read.parquet(f"{d}/documents.parquet")
+    holds = {r["doc_id"] for r in table.collect() if re.search(r"\b(trash|scum|moron|loser|disgusting)\b", toxicity.fold(r["text"]))}  # each in 4 of 10 toxic training rows
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    left = {r["doc_id"] for r in toxicity_filter(spark, table, d).select("doc_id").collect()}
+    bad, fine = {i for i, y in labels.items() if y == 1}, {i for i, y in labels.items() if y == 0}
+    assert len(bad & holds) == 6 and not bad & holds & left and len(fine & left) >= 0.95 * len(fine)
+
+
+def test_support_follows_the_sample():
+    small, large = toxicity.Chance({1: 3000, 2: 800, 4: 300}, 10, 58), toxicity.Chance({1: 300_000, 2: 80_000, 4: 30_000, 9: 9000}, 2500, 17_500)
+    assert small.least() == 4 and 4 < large.least() <= 8 and small.words(2) == 1100 and small.words(5) == 0
+    assert math.isclose(toxicity.tail(2, 3, 0.5), 0.5) and toxicity.Chance({4: 9}, 3, 0).expected(4, 0) == math.inf
+    many = {f"w{i:04}$": 40 for i in range(900)}
+    assert len(toxicity.choose(many, {}, 2500, 17_500, large)) == 900
+
+
 def test_exceptions_and_borders():
     lex = toxicity.Lexicon({"trash$": 5.0, "clown": 4.0})
     assert [h[:2] for h in lex.hits("trash, clowns")] == [(0, 5), (7, 12)]

@@ -3,9 +3,10 @@
 Three base rules find well-formed secrets anywhere in a text.  On top, the text
 is read as source or configuration: at each ``=``, ``:``, ``:=`` or ``=>`` the
 name on the left and the literals on the right make a pair; a name that was
-given a literal before stands for it (constants propagate, also through ``+``
-and adjacent parts), and the resolved value is scored by how sensitive the
-target name is and how much the value looks like a key.
+given a literal before stands for it (constants propagate, also through ``+``,
+on this line or the next, adjacent literals, continued lines and parentheses),
+and the resolved value is scored by how sensitive the target name is and how
+much the value looks like a key.  All its literals are spans.  A tuple is no value.
 
 Offsets are code points, ends exclusive.  Null and empty texts have no spans;
 repeated rows have the same; a long text is read whole.
@@ -16,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -30,7 +32,10 @@ _HEX = re.compile(r"[0-9a-f]{24,}")  # a run is taken whole, so shorter runs are
 _OP = re.compile(r"[:=]")
 _NAME = re.compile(r"""([A-Za-z_][A-Za-z0-9_.\-]{0,127})["'\]]{0,2}[ \t]*$""")
 _OPERATOR = re.compile(r"(:=|=>|=(?![=~])|:(?!//|:))[ \t]*")
-_PART = re.compile(r"""[rbuf]{0,2}("{3}(?P<t>[^"]{0,4096})"{3}|"(?P<d>(?:[^"\\\n]|\\.)*)"|'(?P<s>(?:[^'\\\n]|\\.)*)'|(?P<b>[A-Za-z0-9+/_.=~-]+))[ \t]*(?P<plus>\+[ \t]*)?""", re.ASCII)
+_PART = re.compile(r"""[rbuf]{0,2}("{3}(?P<t>(?:[^"\\]|\\(?s:.)|"(?!""))*+)(?:"{3}|\Z)|'{3}(?P<u>(?:[^'\\]|\\(?s:.)|'(?!''))*+)(?:'{3}|\Z)|(?!"{3})"(?P<d>(?:[^"\\\n]|\\(?:\r?\n|.))*)"|(?!'{3})'(?P<s>(?:[^'\\\n]|\\(?:\r?\n|.))*)'|(?P<b>[A-Za-z0-9+/_.=~-]+))""", re.ASCII)
+_GAP, _GAP_INSIDE = re.compile(r"(?:[ \t]|\\\r?\n)*+"), re.compile(r"(?:\s|\\\r?\n|(?:#|//)[^\n]*)*+")
+_PLUS = re.compile(r"(?P<next>\r?\n[ \t]*)?\+(?:\s|\\\r?\n)*+")
+_GIVEN = re.compile(r"[ \t]*[:=]")
 _BARE_NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*$")
 #: Parts of names and their weight.
 SENSITIVE = (("passphrase", 3.0), ("password", 3.0), ("passwd", 3.0), ("pwd", 2.5), ("secret", 3.0), ("private_key", 3.0), ("privatekey", 3.0), ("api_key", 3.0), ("apikey", 3.0), ("access_key", 3.0), ("accesskey", 3.0), ("signing_key", 3.0), ("encryption_key", 3.0), ("auth_key", 3.0), ("client_key", 2.5), ("credential", 2.5), ("token", 2.5), ("bearer", 2.5), ("auth", 1.5), ("salt", 1.0), ("key", 1.0))
@@ -39,10 +44,41 @@ PLACEHOLDER = re.compile(r"(?i)^(x+|\*+|\.+|none|null|true|false|todo|example.*|
 LEAST = 4.5
 
 
-def entropy(value: str) -> float:
-    """Bits a character."""
-    n = len(value)
-    return -sum(c / n * math.log2(c / n) for c in map(value.count, set(value))) if n else 0.0
+class Value:
+    """A resolved value: what its score needs, and its parts, literals' spans or other values, which are shared and not copied."""
+
+    __slots__ = ("counts", "head", "length", "parts", "tail")
+
+    def __init__(self, literal: str = "", span: tuple[int, int] | None = None):
+        self.length, self.counts, self.head, self.tail = len(literal), Counter(literal), literal[:64], literal[-64:]
+        self.parts: list = [span] if span else []
+
+    def add(self, other: Value) -> None:
+        self.length += other.length
+        self.counts.update(other.counts)
+        self.head, self.tail = (self.head + other.head)[:64], (self.tail + other.tail)[-64:]
+        self.parts.append(other)
+
+    def spans(self, seen: set[int]):
+        """Spans of all literals, without those of values in ``seen``."""
+        todo = [self]
+        while todo:
+            v = todo.pop()
+            if isinstance(v, tuple):
+                yield v
+            elif id(v) not in seen:
+                seen.add(id(v))
+                todo += v.parts
+
+    def placeholder(self) -> bool:
+        if self.length <= 64:
+            return bool(PLACEHOLDER.match(self.head))
+        ends = self.head[:32] + self.tail[-32:]  # the forms are told by their ends, or are one repeated character
+        return bool(PLACEHOLDER.match(ends)) and (len(set(ends.lower())) > 1 or len({c.lower() for c in self.counts}) == 1)
+
+    def entropy(self) -> float:
+        """Bits a character."""
+        return -sum(c / self.length * math.log2(c / self.length) for c in self.counts.values() if c / self.length) if self.length else 0.0
 
 
 def name_weight(name: str) -> float:
@@ -53,13 +89,15 @@ def name_weight(name: str) -> float:
     return max((w for s, w in SENSITIVE if s in low), default=0.0)
 
 
-def score(name: str, value: str) -> float:
+def score(name: str, value: str | Value) -> float:
     """Name weight, at most 3, and up to 3 for the value's entropy, length and mix of character classes."""
+    v = value if isinstance(value, Value) else Value(value)
     w = name_weight(name)
-    if not w or len(value) < 6 or PLACEHOLDER.match(value) or any(c.isspace() for c in value):
+    chars = "".join(v.counts)
+    if not w or v.length < 6 or v.placeholder() or any(c.isspace() for c in chars):
         return 0.0
-    mix = sum(bool(re.search(p, value)) for p in (r"[a-z]", r"[A-Z]", r"[0-9]", r"[^A-Za-z0-9]"))
-    return w + min(1.5, entropy(value) / 3) + min(0.75, len(value) / 32) + 0.25 * (mix - 1)
+    mix = sum(bool(re.search(p, chars)) for p in (r"[a-z]", r"[A-Z]", r"[0-9]", r"[^A-Za-z0-9]"))
+    return w + min(1.5, v.entropy() / 3) + min(0.75, min(v.length, 32) / 32) + 0.25 * (mix - 1)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -71,9 +109,54 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def resolved(text: str, at: int, known: dict[str, Value]) -> tuple[Value, int] | None:
+    """The value that starts at ``at`` and where it ends; none if there is none or it can't be told."""
+    value, end, depth, want, quoted = Value(), at, 0, True, False
+
+    def goes_on(k: int, names: bool) -> bool:
+        p = _PART.match(text, k)
+        return bool(p) and (p["b"] is None or names and p["b"] in known) and not _GIVEN.match(text, p.end())
+
+    while True:
+        at = (_GAP_INSIDE if depth else _GAP).match(text, at).end()
+        plus = _PLUS.match(text, at)
+        if want:
+            if text.startswith("(", at):
+                depth, at = depth + 1, at + 1
+                continue
+            p = _PART.match(text, at)
+            if not p:
+                break
+            kind = next(g for g in "tudsb" if p[g] is not None)
+            got, at = p[kind], p.end()
+            if kind == "b" and _BARE_NAME.match(got):
+                after = _PLUS.match(text, _GAP.match(text, at).end())
+                if got in known:
+                    value.add(known[got])
+                elif value.parts or after and not after["next"]:
+                    return None  # an unknown name
+                else:
+                    value.add(Value(got, (p.start(kind), p.end(kind))))
+            else:
+                value.add(Value(re.sub(r"\\\r?\n", "", got), (p.start(kind), p.end(kind))))
+            end, want, quoted = at, False, kind != "b"
+        elif depth and text.startswith(")", at):
+            depth, at = depth - 1, at + 1
+            end = at
+        elif plus and (not plus["next"] or goes_on(plus.end(), True)):
+            at, want = plus.end(), True
+        elif quoted and goes_on(at, False):
+            want = True
+        elif depth and text.startswith(",", at):
+            return None  # a tuple
+        else:
+            break
+    return (value, end) if value.parts else None
+
+
 def pairs(text: str):
-    """(name, resolved value, spans of the literals) of every assignment, in order."""
-    known: dict[str, tuple[str, tuple[tuple[int, int], ...]]] = {}
+    """(name, resolved value) of every assignment, in order."""
+    known: dict[str, Value] = {}
     upto = 0
     for m in _OP.finditer(text):
         if m.start() < upto or text[m.start() - 1 : m.start()] in ("=", "!", "<", ">", ":"):
@@ -83,35 +166,18 @@ def pairs(text: str):
         op = _OPERATOR.match(text, m.start())
         if not left or not op:
             continue
-        at, value, spans, parts = op.end(), "", [], 0
-        while p := _PART.match(text, at):
-            kind = next(g for g in "tdsb" if p[g] is not None)
-            got = p[kind]
-            if kind == "b" and _BARE_NAME.match(got) and got in known:
-                value += known[got][0]
-                spans += known[got][1]
-            elif kind == "b" and (parts or p["plus"]) and _BARE_NAME.match(got):
-                spans = []  # an unknown name: the value can't be told
-                break
-            else:
-                value += got
-                spans.append((p.start(kind), p.end(kind)))
-            parts += 1
-            at = p.end()
-            if not p["plus"]:
-                break
-        if spans:
-            name = left[1]
-            known[name] = (value[:8192], tuple(spans[:64]))
-            upto = at
-            yield name, value, spans
+        if got := resolved(text, op.end(), known):
+            known[left[1]], upto = got
+            yield left[1], got[0]
 
 
 def lexed_spans(text: str) -> list[tuple[int, int, int]]:
-    out = set()
-    for name, value, spans in pairs(text):
+    out, seen = set(), set()
+    held = []  # ids stay those of these values
+    for name, value in pairs(text):
+        held.append(value)
         if score(name, value) >= LEAST:
-            out.update((a, 3, b) for a, b in spans if b > a)
+            out.update((a, 3, b) for a, b in value.spans(seen) if b > a)
     return sorted(out)
 
 

@@ -332,6 +332,29 @@ def test_lexing(text, found):
     assert [text[a:b] for a, _, b in secret_scan.lexed_spans(text)] == found
 
 
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ('db_pwd = "Xk39$" "fQ!z8"', ["Xk39$", "fQ!z8"]),
+        ('db_pwd = ("Xk39$"  # one\n    \'fQ!z8\')\nb = 1', ["Xk39$", "fQ!z8"]),
+        ('db_pwd = "Xk39$" \\\n  "fQ!z8"', ["Xk39$", "fQ!z8"]),
+        ('db_pwd = "Xk39$" +\n  "fQ!z8"', ["Xk39$", "fQ!z8"]),
+        ('db_pwd = "Xk39$"\n  + "fQ!z8";', ["Xk39$", "fQ!z8"]),
+        ('+db_pwd = "Xk39$fQ!z"\n+"other": "b"\n+c = d', ["Xk39$fQ!z"]),
+        ('db_pwd = "Xk39$\\\nfQ!z8"', ["Xk39$\\\nfQ!z8"]),
+        ('db_pwd = """Xk3"9$fQ!z"""', ['Xk3"9$fQ!z']),
+        ("db_pwd = \'\'\'Xk3'9$fQ!z\'\'\'", ["Xk3'9$fQ!z"]),
+        ('db_pwd = """' + "Xk39$fQ!z" * 1000 + '"""', ["Xk39$fQ!z" * 1000]),
+        ("a = " + " + ".join(f'"{i:03}$fQ"' for i in range(100)) + "\ndb_pwd = a", [f"{i:03}$fQ" for i in range(100)]),
+        ('a0 = "Xk39$f"\n' + "".join(f"a{i + 1} = a{i} + a{i}\n" for i in range(2000)) + "db_pwd = a2000 + a1", ["Xk39$f"]),
+        ('db_pwd = ("Xk39$fQ!z", "b")', []),
+        ('db_pwd = "" "" ""', []),
+    ],
+)
+def test_lexing_of_parts(text, found):
+    assert [text[a:b] for a, _, b in secret_scan.lexed_spans(text)] == found
+
+
 def test_secret_columns(spark):
     df = docs(spark, [*ODD, 'token = "abcdefgh"'])
     got = by_id(secret_scan.scan(df), "n_assign", "n_access", "n_hex", "base_sha256", "spans")

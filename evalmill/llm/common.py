@@ -67,11 +67,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def scratch(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` below the shared folder and read it again: the lineage ends there."""
+def scratch(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` below the shared folder and read it again: the lineage ends there.
+
+    With ``by``, rows of each value of that column lie in a folder of their own.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    out = df.write.option("compression", "zstd")
+    (out.partitionBy(by) if by else out).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.em_path = path
     return out

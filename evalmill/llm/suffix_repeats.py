@@ -5,20 +5,29 @@ anchor: the least hash among its 64-byte grams, the leftmost of equals.  So the
 windows of a text fall into runs with one anchor each, and only suffixes at
 anchors with the same gram need be compared.
 
-* Runs equal as whole segments are counted by hash with partial aggregation, so
-  copies never meet in one task; all their bytes repeat.
-* Segments that differ but share the gram form a group.  Its suffixes from the
+* Runs equal as whole segments, by a 64-bit hash beside that of the gram, are one
+  entry with its number of occurrences, counted with partial aggregation: copies
+  never meet in one task.  An entry of several occurrences has an interval of
+  its own, the whole segment.
+* Entries that differ but share the gram form a group.  Its suffixes from the
   anchor on, sorted, with the longest common prefixes of neighbours, are an
   enhanced suffix array; a stack scan yields the common-prefix intervals, and
   within each the left contexts are arranged the same way, so that each pair of
   intervals is a repeat that can be extended neither right nor left: a maximal
   repeat group with all its occurrences, not just neighbours.
-* A group of more than ``GROUP`` distinct segments is not gathered: its windows
-  are counted one by one, again with partial aggregation, which gives the same
-  bytes.
+* A group of more than ``group`` entries isn't gathered.  A repeat that reaches
+  l bytes left of the anchor and r bytes right has l + r >= ``length``, so it is
+  among the entries that share the next half of what is missing on the right, or
+  among those that share the rest on the left.  Both kinds are groups by a longer
+  shared context, again and again until they are small; one that already shares
+  ``length`` bytes is an interval itself.
+
+``repeat_groups`` returns the maximal groups with every occurrence, ``removal``
+what is left of each text.
 
 Texts are UTF-8; null is empty.  Texts shorter than ``length`` keep all bytes.
-Rows with equal texts, with or without equal ids, repeat each other.
+Rows with equal texts, with or without equal ids, repeat each other.  An empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,6 +36,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,7 +46,7 @@ from evalmill.llm.shingles import _BYTES, mix, powers
 
 LENGTH = 400
 GRAM = 64
-GROUP = 16_384
+GROUP = 1024
 #: Bits of a key that hold the place; longer texts are cut in overlapping parts.
 PLACE = 20
 _U = np.uint64
@@ -140,82 +150,109 @@ def _anchors(texts: DataFrame, length: int) -> DataFrame:
     return map_batches(texts.select("id", "th", "t"), run, "id long, th long, nb long, gram long, seg long, s int, e int, a int")
 
 
+_ENTRY = "key long, gram long, h long, c long, th long, nb long, s int, e int, a int, l int, r int, seg binary"
+_FIELDS = [x.split()[0] for x in _ENTRY.split(", ")]
+
+
+def columns(rows: list, names: list[str]) -> dict[str, list]:
+    cols = zip(*rows, strict=True) if rows else [[]] * len(names)
+    return dict(zip(names, map(list, cols), strict=True))
+
+
 def _cut(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """(gram, c, th, nb, s, e, a, text of the segment) of the wanted representatives."""
-    lists = wanted.groupBy("id", "th", "nb").agg(F.collect_list(F.struct("gram", "c", "s", "e", "a")).alias("w"))
+    """The wanted entries with the text of their segment; they share the gram, ``l`` = 0 bytes left of the anchor and ``r`` right."""
+    lists = wanted.groupBy("id", "th", "nb").agg(F.collect_list(F.struct("gram", "seg", "c", "s", "e", "a")).alias("w"))
 
     def run(batches):
         for b in batches:
             rows = []
             for th, nb, t, w in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 raw = (t or "").encode()
-                rows += [(x["gram"], x["c"], th, nb, x["s"], x["e"], x["a"], raw[x["s"] : x["e"] + length]) for x in w]
-            cols = zip(*rows, strict=True) if rows else [[]] * 8
-            yield dict(zip(("gram", "c", "th", "nb", "s", "e", "a", "seg"), map(list, cols), strict=True))
+                rows += [(x["gram"], x["gram"], x["seg"], x["c"], th, nb, x["s"], x["e"], x["a"], 0, GRAM, raw[x["s"] : x["e"] + length]) for x in w]
+            yield columns(rows, _FIELDS)
 
     # of equal texts only that of the least id is cut; rows that repeat it are one entry of a group
     joined = texts.join(lists.hint("merge"), ["id", "th", "nb"]).select("th", "nb", "t", "w")
-    return map_batches(joined, run, "gram long, c long, th long, nb long, s int, e int, a int, seg binary")
-
+    return map_batches(joined, run, _ENTRY)
 
-def repeat_groups(segments: DataFrame, length: int) -> DataFrame:
-    """(th, nb, start, end, members) of each segment that has a maximal repeat: all its repeats hold the anchor, so their union is one span; members is the largest group's size."""
 
-    def flush(rows: list[tuple], out: list[tuple]) -> None:
-        held: dict[tuple[bytes, int], int] = {}
-        for k, r in enumerate(rows):
-            held.setdefault((r[7], r[6] - r[4]), k)
-        members = list(held)
-        if len(members) < 2:
-            return
-        reach: dict[int, tuple[int, int, int]] = {}
-        for left, right, group in maximal_repeats(members, length):
-            for m in group:
-                x, y, n = reach.get(m, (0, 0, 0))
-                reach[m] = max(x, left), max(y, right), max(n, len(group))
-        for m, (left, right, n) in reach.items():
-            _, c, th, nb, _, _, a, _ = rows[held[members[m]]]
-            if c == 1:
-                out.append((th, nb, a - left, a + right, n))
+def _split(entries: DataFrame, length: int) -> DataFrame:
+    """The entries of large groups by longer contexts: the next half on the right, or what a repeat that ends before it has on the left."""
 
-    def emit(out):
-        cols = zip(*out, strict=True) if out else [[]] * 5
-        return dict(zip(("th", "nb", "start", "end", "members"), map(list, cols), strict=True))
+    def run(batches):
+        for b in batches:
+            rows = []
+            for key, gram, h, c, th, nb, s, e, a, left, right, seg in zip(*(b.column(i).to_pylist() for i in range(len(_FIELDS))), strict=True):
+                missing = length - left - right
+                half = (missing + 1) // 2
+                for x, y in ((left, right + half), (left + missing - half + 1, right)):
+                    if x <= a - s and a - s + y <= len(seg):
+                        shared = xxhash.xxh3_64_intdigest(seg[a - s - x : a - s + y], seed=(key * 8191 + x) & 0xFFFFFFFFFFFFFFFF)
+                        rows.append((shared - (1 << 63), gram, h, c, th, nb, s, e, a, x, y, seg))
+            yield columns(rows, _FIELDS)
+
+    return map_batches(entries.select(_FIELDS), run, _ENTRY)
+
+
+def _groups(parts: _Parts, length: int, group: int) -> Iterator[tuple[bool, DataFrame]]:
+    """(False, entries of groups of 2 to ``group`` entries) and (True, those of larger groups that share ``length`` bytes)."""
+    yield False, parts.cut(F.col("k") <= group)
+    if parts.several.filter(F.col("k") > group).isEmpty():
+        return
+    large = scratch(parts.cut(F.col("k") > group), "large")
+    while not large.isEmpty():
+        rows = scratch(_split(large, length), "split")
+        n = rows.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1")
+        rows = rows.join(n, "key").select(*_FIELDS, "k")
+        yield False, rows.filter(F.col("k") <= group)
+        yield True, rows.filter((F.col("k") > group) & (F.col("l") + F.col("r") >= length))
+        large = scratch(rows.filter((F.col("k") > group) & (F.col("l") + F.col("r") < length)).select(_FIELDS), "large")
+
+
+def arranged(rows: list[tuple], length: int) -> Iterator[tuple[int, int, list[int]]]:
+    """(bytes left of the anchor, bytes from it on, places in ``rows``) of the maximal repeats of a group's entries."""
+    held: dict[tuple[bytes, int], int] = {}
+    for k, r in enumerate(rows):
+        held.setdefault((r[11], r[8] - r[6]), k)
+    members = list(held)
+    if len(members) > 1:
+        for left, right, found in maximal_repeats(members, length):
+            yield left, right, [held[members[m]] for m in found]
+
+
+def _by_group(entries: DataFrame, fn, schema: str) -> DataFrame:
+    """What ``fn`` yields for the rows of each group; names of columns are those of the schema."""
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches):
         at, rows, out = None, [], []
         for b in batches:
-            for r in zip(*(b.column(i).to_pylist() for i in range(8)), strict=True):
+            for r in zip(*(b.column(i).to_pylist() for i in range(len(_FIELDS))), strict=True):
                 if r[0] != at:
-                    flush(rows, out)
+                    out += fn(rows) if rows else []
                     at, rows = r[0], []
                 rows.append(r)
             if len(out) > 20_000:
-                yield emit(out)
-                out.clear()
-        flush(rows, out)
-        yield emit(out)
+                yield columns(out, names)
+                out = []
+        out += fn(rows) if rows else []
+        yield columns(out, names)
 
-    dealt = segments.repartition("gram").sortWithinPartitions("gram")
-    return map_batches(dealt, run, "th long, nb long, start int, end int, members int")
+    return map_batches(entries.select(_FIELDS).repartition("key").sortWithinPartitions("key"), run, schema)
 
 
-def _counted_windows(segments: DataFrame, length: int) -> DataFrame:
-    """Spans of repeated windows of groups too large to gather, by counting windows."""
+def reaches(entries: DataFrame, length: int) -> DataFrame:
+    """(th, nb, start, end) of each entry of one occurrence that has a maximal repeat: all its repeats hold the anchor, so their union is one span."""
 
-    def run(batches):
-        for b in batches:
-            out: list[tuple] = []
-            for _, c, th, nb, s, e, _, seg in zip(*(b.column(i).to_pylist() for i in range(8)), strict=True):
-                raw = np.frombuffer(seg, dtype=np.uint8)
-                at = np.arange(e - s + 1)
-                out.append((stretch_hashes(raw, at, at + length, at * 0), stretch_hashes(raw, at, at + length // 2, at * 0), np.full(len(at), c), np.full(len(at), th), np.full(len(at), nb), s + at))
-            cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, dtype=np.int64)] * 6
-            yield dict(zip(("h", "g", "c", "th", "nb", "start"), cols, strict=True))
+    def spans(rows):
+        reach: dict[int, tuple[int, int]] = {}
+        for left, right, group in arranged(rows, length):
+            for m in group:
+                x, y = reach.get(m, (0, 0))
+                reach[m] = max(x, left), max(y, right)
+        return [(rows[m][4], rows[m][5], rows[m][8] - left, rows[m][8] + right) for m, (left, right) in reach.items() if rows[m][3] == 1]
 
-    windows = map_batches(segments, run, "h long, g long, c long, th long, nb long, start int")
-    often = windows.groupBy("h", "g").agg(F.sum("c").alias("k")).filter("k > 1").select("h", "g")
-    return windows.filter("c = 1").join(often, ["h", "g"], "left_semi").select("th", "nb", "start", (F.col("start") + length).alias("end"))
+    return _by_group(entries, spans, "th long, nb long, start int, end int")
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -223,32 +260,76 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col), F.coalesce(F.xxhash64(F.col(id_col)), F.lit(0)).alias("id"), F.col(text_col).alias("t")).withColumns({"th": F.xxhash64(F.coalesce("t", F.lit(""))), "nb": F.coalesce(F.octet_length("t").cast("long"), F.lit(0).cast("long"))})
 
 
+class _Parts:
+    """What the removal and the groups are made of: runs, entries (gram, seg, c, at), and numbers ``k`` of entries of the grams that have several."""
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, length: int):
+        small_batches(docs.sparkSession)
+        texts = _keyed(docs, id_col, text_col).select("id", "th", "nb", "t")
+        self.runs = scratch(_anchors(texts, length), "runs")
+        place = F.struct("id", "th", "nb", "s", "e", "a")
+        self.entries = scratch(self.runs.groupBy("gram", "seg").agg(F.count("*").alias("c"), F.min(place).alias("at")), "segments")
+        release(docs.sparkSession)
+        self.texts, self.length = texts, length
+        self.several = self.entries.groupBy("gram").agg(F.count("*").alias("k")).filter("k > 1")
+
+    def cut(self, which) -> DataFrame:
+        """The entries, with their text, of the groups for whose number of entries ``k`` the condition holds."""
+        wanted = self.entries.join(self.several.filter(which), "gram").select("gram", "seg", "c", "at.*")
+        return _cut(self.texts, wanted, self.length)
+
+
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, group: int = GROUP) -> DataFrame:
     """(th, nb, spans) of the texts with repeated bytes."""
     spark = docs.sparkSession
-    small_batches(spark)
-    texts = _keyed(docs, id_col, text_col).select("id", "th", "nb", "t")
-    runs_ = scratch(_anchors(texts, length), "runs")
-    place = F.struct("id", "th", "nb", "s", "e", "a")
-    segs = scratch(runs_.groupBy("gram", "seg").agg(F.count("*").alias("c"), F.min(place).alias("at")), "segments")
+    p = _Parts(docs, id_col, text_col, length)
+    whole = p.runs.join(p.entries.filter("c > 1").select("gram", "seg"), ["gram", "seg"], "left_semi").select("th", "nb", F.col("s").alias("start"), (F.col("e") + length).alias("end")).distinct()
+    found = scratch(whole, "whole")
+    discard(p.runs)
     release(spark)
-    whole = runs_.join(segs.filter("c > 1").select("gram", "seg"), ["gram", "seg"], "left_semi").select("th", "nb", F.col("s").alias("start"), (F.col("e") + length).alias("end")).distinct()
-    whole = scratch(whole, "whole")
-    discard(runs_)
-    release(spark)
-    several = segs.groupBy("gram").agg(F.count("*").alias("k")).filter("k > 1")
-    wanted = segs.join(several, "gram").select("gram", "c", "at.*", "k")
-    small = _cut(texts, wanted.filter(F.col("k") <= group), length)
-    near = scratch(repeat_groups(small, length).select("th", "nb", "start", "end"), "near")
-    release(spark)
-    found = whole.union(near)
-    large = wanted.filter(F.col("k") > group)
-    if not several.filter(F.col("k") > group).isEmpty():
-        found = found.union(scratch(_counted_windows(scratch(_cut(texts, large, length), "large"), length).distinct(), "windows"))
-    discard(segs)
+    for whole_window, part in _groups(p, length, group):
+        ends = part.filter("c = 1").select("th", "nb", (F.col("a") - F.col("l")).alias("start"), (F.col("a") + F.col("r")).alias("end")).distinct() if whole_window else reaches(part, length)
+        found = found.union(scratch(ends, "spans"))
+        release(spark)
+    discard(p.entries)
     return found.groupBy("th", "nb").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
+def repeat_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, group: int = GROUP) -> DataFrame:
+    """(``group``, length, n_occurrences, ``id_col``, start): the maximal repeat groups of ``length`` bytes or more around each anchor, a row an occurrence.
+
+    Copies of an entry are occurrences of all its groups.  A group of more than
+    ``group`` entries that share ``length`` bytes comes as it is, not extended.
+    """
+    p = _Parts(docs, id_col, text_col, length)
+    schema = "group long, gram long, seg long, left int, right int"
+
+    def named(r, left, right):
+        """The group of the bytes around the anchor; the same for all groups of entries in which it is found."""
+        at = r[8] - r[6]
+        return xxhash.xxh3_64_intdigest(r[11][at - left : at + right], seed=left) - (1 << 63)
+
+    def members(rows):
+        return [(named(rows[found[0]], left, right), rows[m][1], rows[m][2], left, right) for left, right, found in arranged(rows, length) for m in found]
+
+    def windows(batches):
+        for b in batches:
+            rows = list(zip(*(b.column(i).to_pylist() for i in range(len(_FIELDS))), strict=True))
+            yield columns([(named(r, r[9], r[10]), r[1], r[2], r[9], r[10]) for r in rows], [x.split()[0] for x in schema.split(", ")])
+
+    found = docs.sparkSession.createDataFrame([], schema)
+    for whole_window, part in _groups(p, length, group):
+        found = found.union(scratch(map_batches(part.select(_FIELDS), windows, schema) if whole_window else _by_group(part, members, schema), "groups"))
+    found = found.distinct()
+    entry = [F.xxhash64("gram", "seg").alias("group"), "gram", "seg", (F.col("at.a") - F.col("at.s")).alias("left"), (F.col("at.e") + length - F.col("at.a")).alias("right")]
+    whole = p.entries.filter("c > 1").select(*entry).join(found.select("gram", "seg", "left", "right"), ["gram", "seg", "left", "right"], "left_anti").select(found.columns)
+    found = scratch(found.union(whole), "members")
+    names = _keyed(docs, id_col, text_col).select("id", "th", "nb", F.col(id_col).alias("em_name")).distinct()
+    places = found.join(p.runs, ["gram", "seg"]).select("group", (F.col("left") + F.col("right")).alias("length"), "id", "th", "nb", (F.col("a") - F.col("left")).alias("start"))
+    count = places.groupBy("group").agg(F.count("*").alias("n_occurrences"))
+    return places.join(count, "group").join(names, ["id", "th", "nb"]).select("group", "length", "n_occurrences", F.col("em_name").alias(id_col), "start")
+
+
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Maximal runs: spans that overlap or touch are one."""
     out: list[list[int]] = []

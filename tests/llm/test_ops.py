@@ -142,12 +142,16 @@ def test_members_and_index(spark, tmp_path):
 # 4 ------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("group", [suffix_repeats.GROUP, 2])
-def test_suffix_repeats(spark, group):
+def repeating_texts():
     rng = random.Random(3)
     base = "".join(rng.choice("ab é") for _ in range(3000))
     texts = [*ODD, "x" * 399, "x" * 400, "ab" * 700] + [base[rng.randrange(900) :][: rng.randrange(300, 1500)] + "".join(rng.choice("ab") for _ in range(rng.randrange(60))) + base[rng.randrange(500, 2000) :][: rng.randrange(700)] for _ in range(40)]
-    texts += texts[20:23]
+    return texts + texts[20:23]
+
+
+@pytest.mark.parametrize("group", [suffix_repeats.GROUP, 5, 1])
+def test_suffix_repeats(spark, group):
+    texts = repeating_texts()
     df = docs(spark, texts)
     found = suffix_repeats.removal(df.withColumn("nb", F.lit(1)), group=group)
     got = by_id(found.withColumn("h", F.sha2("kept", 256)), "n_bytes", "n_removed", "n_spans", "h")
@@ -155,6 +159,24 @@ def test_suffix_repeats(spark, group):
     assert suffix_repeats.removal(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("group", [suffix_repeats.GROUP, 4])
+def test_repeat_groups_have_every_occurrence(spark, group):
+    texts = repeating_texts()
+    raw = [(t or "").encode() for t in texts]
+    found = collections.defaultdict(list)
+    for r in suffix_repeats.repeat_groups(docs(spark, texts), group=group).collect():
+        found[r["group"]].append(r)
+    hit = [np.zeros(len(r), dtype=bool) for r in raw]
+    for rows in found.values():
+        assert len({(r["length"], raw[r["doc_id"]][r["start"] : r["start"] + r["length"]]) for r in rows}) == 1 and len({(r["doc_id"], r["start"]) for r in rows}) == rows[0]["n_occurrences"] == len(rows) > 1
+        word = raw[rows[0]["doc_id"]][rows[0]["start"] : rows[0]["start"] + rows[0]["length"]]
+        if group != 4:  # all places where the string occurs around the same anchor
+            assert len(rows) <= sum(r[i:].startswith(word) for r in raw for i in range(len(r)))
+        for r in rows:
+            hit[r["doc_id"]][r["start"] : r["start"] + r["length"]] = True
+    assert [int(h.sum()) for h in hit] == [x[1] for x in suffix_repeats.brute_force(texts)]
+
+
 @given(st.lists(st.text(alphabet="ab", min_size=0, max_size=30), min_size=2, max_size=6, unique=True))
 @settings(max_examples=200, deadline=None)
 def test_intervals_are_all_common_prefixes(words):
@@ -291,31 +313,129 @@ def test_pitman_yor_scores_words_in_their_context(spark):
         assert math.isclose(got[60 + i][0], got[80 + i][0], rel_tol=1e-9) and got[60 + i][1] > got[80 + i][1] + 10
 
 
-@pytest.mark.parametrize("hot", [pitman_yor.HOT, 2])
-def test_context_probabilities_sum_to_one(spark, monkeypatch, hot):
-    monkeypatch.setattr(pitman_yor, "HOT", hot)
-    words, contexts = [b"a", b"bc", b"c", b"dd", b"never"], [1, 2, 3]
-    c = {(1, 0): 9, (1, 1): 1, (2, 0): 1, (2, 2): 5, (2, 3): 2}  # context 3 taught nothing
-    count = [sum(n for (_, w), n in c.items() if w == i) for i in range(len(words))]
-    types = spark.createDataFrame([(w, i, count[i]) for i, w in enumerate(words)], "token binary, b long, c long")
-    pairs = spark.createDataFrame([(u, i, c.get((u, i), 0), [(u, i)]) for u in contexts for i in range(len(words))], "a long, b long, c long, at array<struct<part:long,pos:int>>")
-    told, total = pitman_yor.fit(types, pairs, 3, 1, False)
-    p = {tuple(r["at"][0]): 10 ** r["s"] for r in told.collect()}
-    assert total == 18 and len(p) == 15 and all(math.isclose(sum(p[u, i] for i in range(len(words))), 1, rel_tol=1e-6) for u in contexts)
-    assert p[1, 0] > p[3, 0] > p[2, 0] and p[2, 2] > p[3, 2] > p[1, 2]
+def naive_pitman_yor(texts, held, sweeps=pitman_yor.SWEEPS, burn_in=pitman_yor.BURN_IN):
+    """The model with dictionaries, one dish at a time; (score of each text, probabilities of every word after each context)."""
+    one = lambda f, *x: int(f(*(np.array([v]) if not isinstance(v, float | str) else v for v in x)))  # noqa: E731, F841
+    tokens = [pitman_yor.tokens_of(t) for t in texts]
+    pairs = collections.Counter(p for w, h in zip(tokens, held) if not h for p in zip([b"", *w], w))
+    c = collections.Counter(w for x, h in zip(tokens, held) if not h for w in x)
+    cu = collections.Counter()
+    for (a, _), n in pairs.items():
+        cu[a] += n
+    key = {w: np.array([pitman_yor.key_of(w)], dtype=np.uint64) for x in tokens for w in [b"", *x]}
+    mix = lambda a, b: pitman_yor.mix(pitman_yor.mix(key[a] * np.uint64(pitman_yor._GOLD) + np.uint64(1)) + key[b])
+    arr = lambda *v: [np.array([x]) for x in v]
+    ones = lambda xs: (sum(x == 1 for x in xs), sum(x == 2 for x in xs))
+    d2 = pitman_yor.share(*ones(pairs.values()))
+    t, tw, kw = dict.fromkeys(pairs, 1), {w: 1 for w in c}, {}
+    d1, total, seen, mean = None, len(c), sorted({w for x in tokens for w in x}), collections.defaultdict(float)
+    for k in range(sweeps + 1):
+        cells = np.zeros(pitman_yor.SYMBOLS**2, dtype=np.int64)
+        for w, n in tw.items():
+            for x, y in zip([256, *w], [*w, 256]):
+                cells[x * pitman_yor.SYMBOLS + y] += n
+        bits = pitman_yor.Spelling(cells, 7 * k).bits
+        ka, kb = collections.Counter(), collections.Counter()
+        for (a, b), n in t.items():
+            ka[a] += n
+            kb[b] += n
+        d1 = pitman_yor.share(*ones(kb.values())) if d1 is None else d1
+        q = {w: min(pitman_yor.LAST, round(float(pitman_yor.OCTAVE * sum(bits[x * pitman_yor.SYMBOLS + y] for x, y in zip([256, *w], [*w, 256]))))) for w in seen}
+        new = {}
+        for w in kb:
+            o, p, d = max(total - tw[w], 0), 2 ** (-q[w] / pitman_yor.OCTAVE), d1
+            start = pitman_yor.join(*arr(kw.get(w, 0), tw[w] if kw.get(w) else 0, kb[w], o, p), d, key[w], 1000 * (k + 1) + 500)
+            new[w] = int(pitman_yor.sweep(*arr(kb[w]), start, *arr(o, p), d, key[w], 1000 * (k + 1))[0])
+        tw, kw, total = new, kb, sum(new.values())
+        rest, customers = 1 - sum(2 ** (-q[w] / pitman_yor.OCTAVE) for w in c), sum(kb.values())
+        p1 = {w: (max(kb[w] - d1 * tw.get(w, 0), 0) + (1 + d1 * total) * (2 ** (-q[w] / pitman_yor.OCTAVE) if w in c else rest)) / (customers + 1) for w in seen}
+        if k > burn_in:
+            for a in [b"", *seen]:
+                for b in seen:
+                    n = pairs.get((a, b), 0)
+                    mean[a, b] += (max(n - d2 * t.get((a, b), 0), 0) + (1 + d2 * ka[a]) * p1[b]) / (cu[a] + 1) / (sweeps - burn_in)
+        if k < sweeps:
+            t = {(a, b): int(pitman_yor.chain(*arr(pairs[a, b], t[a, b], ka[a], p1[b]), d2, mix(a, b), k)[0]) if pairs[a, b] > 1 else 1 for a, b in pairs}
+    return [sum(math.log10(mean[p]) for p in zip([b"", *w], w)) for w in tokens], mean, c
 
 
-def test_probabilities_sum_to_one():
-    words = [bytes([a, b]) for a in b"abc" for b in b"abc"]
-    context, dish, owner = pitman_yor.spelled(words)
-    cells, counts = np.unique(context * pitman_yor.SYMBOLS + dish, return_counts=True)
-    s = pitman_yor.Spelling(cells, counts.astype(np.int64), 1)
-    assert np.allclose(np.exp(s.two[1:]).sum(axis=1), 1, atol=1e-3) and np.allclose(np.exp(s.one).sum(axis=1), 1, atol=1e-3)
+@pytest.fixture(scope="module")
+def small_corpus():
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcé") for _ in range(1 + k % 5)) for k in range(60)]
+    texts = [" ".join(rng.choices(words, weights=[1 / (k + 1) for k in range(60)], k=rng.randrange(0, 40))) for _ in range(120)] + ODD + ["the same words"] * 30
+    return texts, [k % 7 == 2 for k in range(len(texts))]
+
+
+def test_pitman_yor_is_the_naive_one(spark, small_corpus):
+    texts, held = small_corpus
+    df = docs(spark, texts).withColumn("held_out", F.col("doc_id") % 7 == 2)
+    got = by_id(pitman_yor.score(df), "score")
+    scores, mean, c = naive_pitman_yor(texts, held)
+    assert all(math.isclose(got[i][0], x, rel_tol=1e-9, abs_tol=1e-9) for i, x in enumerate(scores))
+    unseen = next(b for _, b in mean if b not in c)
+    for a in {a for a, _ in mean}:  # the training types and one outcome for all others
+        assert math.isclose(sum(mean[a, b] for b in c) + mean[a, unseen], 1, rel_tol=1e-9)
 
 
-def test_planes():
-    x = np.array([0, 1, 255, 256, 70_000, 2**31])
-    assert pitman_yor.unplanes(pitman_yor.planes(x)).tolist() == x.tolist()
+def test_pitman_yor_is_the_same_in_any_layout(spark, monkeypatch, small_corpus):
+    texts, _ = small_corpus
+    df = docs(spark, texts).withColumn("held_out", F.col("doc_id") % 7 == 2)
+    one = by_id(pitman_yor.score(df.coalesce(1)), "n_known", "base_score", "score")
+    monkeypatch.setattr(pitman_yor, "BLOCK", 300)
+    monkeypatch.setattr(pitman_yor, "SPREAD", 16)
+    assert by_id(pitman_yor.score(df.repartition(5, F.rand(3))), "n_known", "base_score", "score") == one
+
+
+def test_pitman_yor_reads_text_ids_and_odd_columns(spark):
+    df = spark.createDataFrame([("a", "x y", False, 1), ("a", "x y", False, 2), (None, None, None, 3), ("b", "x " * 5000, True, 4)], "key string, t string, h boolean, score int")
+    got = pitman_yor.score(df, held_col="h", id_col="key", text_col="t").collect()
+    assert sorted((r["key"] or "", r["n_tokens"]) for r in got) == [("", 1), ("a", 3), ("a", 3), ("b", 5001)] and got[0]["train_tokens"] == 7
+
+
+def stirling(d, most):
+    s = {(1, 1): 1.0}
+    for c in range(2, most + 1):
+        for t in range(1, c + 1):
+            s[c, t] = s.get((c - 1, t - 1), 0.0) + (c - 1 - d * t) * s.get((c - 1, t), 0.0)
+    return s
+
+
+@pytest.mark.parametrize("d", [0.1, 0.5, 0.9])
+def test_chance_to_sit_alone(d, monkeypatch):
+    s = stirling(d, 40)
+    for c in range(2, 41):
+        for t in range(1, c + 1):
+            assert math.isclose(pitman_yor.alone(np.array([c]), np.array([t]), d)[0], s.get((c - 1, t - 1), 0.0) / s[c, t], rel_tol=1e-9)
+    c, t = np.full(500, 500), np.arange(1, 501)
+    exact = pitman_yor.alone(c, t, d)
+    monkeypatch.setattr(pitman_yor, "EXACT", 1)
+    assert np.abs(pitman_yor.alone(c, t, d) - exact)[[0, *range(9, 500)]].max() < 0.01
+
+
+def test_gibbs_moves_keep_the_distribution_of_tables():
+    d, p, c, n = 0.6, 0.3, 6, 20_000
+    s, key = stirling(d, c), pitman_yor.mix(np.arange(n, dtype=np.uint64))
+    weight = np.array([s[c, t] * math.prod((1 + d * i) * p if i else p for i in range(t)) for t in range(1, c + 1)])  # no tables of other dishes
+    t = np.full(n, c)
+    for k in range(12):
+        t = pitman_yor.sweep(np.full(n, c), t, np.zeros(n), np.full(n, p), d, key, 100 * k)
+    got = np.bincount(t, minlength=c + 1)[1:] / n
+    assert np.abs(got - weight / weight.sum()).max() < 0.015
+
+
+def test_spelling_sums_to_one():
+    counts = np.zeros(pitman_yor.SYMBOLS**2, dtype=np.int64)
+    cell, owner = pitman_yor.spelled(np.frombuffer("abcabé".encode(), dtype=np.uint8), np.array([3, 0, 4]))
+    assert cell.tolist() == [x * 257 + y for w in (b"abc", b"", "abé".encode()) for x, y in zip([256, *w], [*w, 256])] and owner.tolist() == [0] * 4 + [1] + [2] * 5
+    np.add.at(counts, cell, 3)
+    assert np.allclose((2.0 ** -pitman_yor.Spelling(counts).bits.reshape(257, 257)).sum(axis=1), 1, atol=1e-9)
+
+
+@given(st.lists(st.integers(0, 2**63 - 1), max_size=30))
+def test_packed_numbers(x):
+    assert pitman_yor.unpack(pitman_yor.pack(np.array(x, dtype=np.uint64))).tolist() == x
+    assert pitman_yor.unpack_sorted(pitman_yor.pack_sorted(np.sort(np.array(x, dtype=np.uint64) * np.uint64(2)))).tolist() == sorted(2 * v for v in x)
 
 
 # 8 ------------------------------------------------------------------------------------------------

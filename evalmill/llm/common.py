@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -34,9 +35,11 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
+    """The folder that driver and executors share; one of our own only where none is set and all run in one process."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="evalmill-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -106,17 +109,21 @@ def map_batches(df: DataFrame, fn: Callable[[Iterable[pa.RecordBatch]], Iterator
 
 
 def append_columns(df: DataFrame, inputs: list[str], fn: Callable[..., dict], fields: T.StructType) -> DataFrame:
-    """All columns of ``df`` and those that ``fn(*lists of the input columns)`` computes, with no shuffle."""
-    struct = T.StructType(df.schema.fields + fields.fields)
+    """All columns of ``df`` and those that ``fn(*lists of the input columns)`` computes, with no shuffle.
+
+    A column of ``df`` with the name of a new one gives way to it, as in ``withColumn``.
+    """
+    made = {f.name.lower() for f in fields}
+    held = [i for i, c in enumerate(df.columns) if c.lower() not in made]
+    struct = T.StructType([df.schema.fields[i] for i in held] + fields.fields)
     arrow = to_arrow_schema(struct)
     new = to_arrow_schema(fields)
-    width = len(df.columns)
     at = [df.columns.index(c) for c in inputs]
 
     def run(batches):
         for batch in batches:
             made = fn(*(batch.column(i).to_pylist() for i in at))
-            yield pa.RecordBatch.from_arrays([batch.column(i).cast(arrow.field(i).type) for i in range(width)] + [pa.array(made[f.name], type=f.type) for f in new], schema=arrow)
+            yield pa.RecordBatch.from_arrays([batch.column(i).cast(arrow.field(k).type) for k, i in enumerate(held)] + [pa.array(made[f.name], type=f.type) for f in new], schema=arrow)
         pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, struct)
@@ -125,3 +132,21 @@ def append_columns(df: DataFrame, inputs: list[str], fn: Callable[..., dict], fi
 def crc_mod(col, n: int):
     """The fold of a row: crc32 of the id's text, modulo n; a null id is in fold 0."""
     return F.coalesce(F.pmod(F.crc32(F.col(col).cast("string").cast("binary")), F.lit(n)), F.lit(0)) if isinstance(col, str) else F.coalesce(F.pmod(F.crc32(col.cast("string").cast("binary")), F.lit(n)), F.lit(0))
+
+
+#: Rows of a side that may be broadcast: a key and a few numbers each, at most about 16 MB.
+BROADCAST_ROWS = 100_000
+
+
+def joined_by_key(rows: DataFrame, side: DataFrame, key: str, n: str, hot: int = 1000) -> DataFrame:
+    """``rows`` joined with ``side``, one row a key, whose ``n`` says how many rows have the key.
+
+    The keys of more than ``hot`` rows, at most ``BROADCAST_ROWS`` of them and
+    those of most rows, meet their rows by broadcast, so that no task gets all
+    rows of one; any other key has at most a ``BROADCAST_ROWS``-th of all rows.
+    """
+    most = scratch(side.filter(F.col(n) > hot).orderBy(F.desc(n), key).limit(BROADCAST_ROWS), "hot")
+    if most.isEmpty():
+        return rows.join(side, key)
+    keys = F.broadcast(most.select(key))
+    return rows.join(F.broadcast(most), key).unionByName(rows.join(keys, key, "left_anti").join(side.join(keys, key, "left_anti"), key))

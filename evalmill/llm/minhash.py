@@ -15,8 +15,13 @@ makes the chance to miss a pair at the threshold less than ``MISS``.
 
 Nodes are ids: rows that repeat an id are one document.  Null and empty texts
 have no shingles and link with nothing.  A row with a null id follows its class
-but never represents it.  Components are found by label propagation with
-pointer jumping over tables; nothing of them is collected.
+but never represents it.  Ids of any type but whole numbers stand for themselves
+behind row numbers.  ``distinct_documents`` treats rows as documents, whatever
+their ids.  An empty table gives no rows.  Components are found by label
+propagation with pointer jumping over tables; nothing of them is collected.
+
+Buckets, shingles, hubs and classes of very many rows meet the other side of a
+join by broadcast (``joined_by_key``), so that no task gets all rows of one.
 """
 
 from __future__ import annotations
@@ -25,10 +30,11 @@ import math
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from evalmill.llm.common import map_batches, release, scratch, small_batches
+from evalmill.llm.common import joined_by_key, map_batches, release, scratch, small_batches
 from evalmill.llm.shingles import mix, shingles
 
 ROWS = 4
@@ -93,7 +99,8 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     A hub's set meets its partners' in pieces of about CHUNK partners, so that
     no task holds all partners of a hub.
     """
-    pieces = pairs.join(pairs.groupBy("h").agg(F.ceil(F.count("*") / CHUNK).alias("k")), "h").select("x", "h", F.pmod(F.xxhash64("x"), F.col("k")).alias("g"))
+    counts = scratch(pairs.groupBy("h").agg(F.count("*").alias("m")), "hubs")
+    pieces = joined_by_key(pairs, counts, "h", "m").withColumn("k", F.ceil(F.col("m") / CHUNK)).select("x", "h", F.pmod(F.xxhash64("x"), F.col("k")).alias("g"))
     pieces = scratch(pieces, "pieces")
     member = pieces.join(sets.select(F.col("cid").alias("x"), "blob"), "x").select("h", "g", F.lit(1).alias("kind"), "x", "blob")
     hub = pieces.select("h", "g").distinct().join(sets.select(F.col("cid").alias("h"), "blob"), "h").select("h", "g", F.lit(0).alias("kind"), F.col("h").alias("x"), "blob")
@@ -149,14 +156,12 @@ def _rare_pairs(rest: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
                     part = s[lo : lo + 50_000]
                     yield {"cid": np.full(len(part), i), "c": np.full(len(part), c), "n": np.full(len(part), len(s)), "t": part}
 
-    rows = map_batches(rest.join(sets, "cid").select("cid", "c", "blob"), tokens, "cid long, c long, n long, t long")
+    rows = map_batches(rest.join(sets.dropDuplicates(["cid"]), "cid").select("cid", "c", "blob"), tokens, "cid long, c long, n long, t long")
     rows = scratch(rows, "tokens")
-    count = rows.groupBy("t").agg(F.count("*").alias("df"))
-    from pyspark.sql import Window
-
+    count = scratch(rows.groupBy("t").agg(F.count("*").alias("df"), (F.min("c") < F.max("c")).alias("across")), "frequencies")
     order = F.row_number().over(Window.partitionBy("cid").orderBy("df", "t"))
     least = F.ceil(F.col("n") * num / den - F.lit(1e-9))
-    post = rows.join(count, "t").withColumn("i", order).filter((F.col("i") <= F.col("n") - least + 1) & (F.col("df") > 1)).select("t", "cid", "c", "n", "i")
+    post = joined_by_key(rows, count, "t", "df").withColumn("i", order).filter((F.col("i") <= F.col("n") - least + 1) & F.col("across")).select("t", "cid", "c", "n", "i")
     post = scratch(post, "postings")
     a, b = post.alias("a"), post.alias("b")
     small, large = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
@@ -167,19 +172,26 @@ def _rare_pairs(rest: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row for each row of ``docs``; similar is num/den or more."""
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        keyed, found = _by_row(docs.select(id_col, text_col), text_col, size, num, den)
+        named = found.join(keyed.select("em_key", F.col(id_col).alias("doc_id")), "em_key")
+        least = named.groupBy("component_id").agg(F.min("doc_id").alias("least"), F.count("*").alias("m"))
+        named = joined_by_key(named, scratch(least, "least"), "component_id", "m")
+        return named.select("doc_id", "n_shingles", F.col("least").alias("component_id"), (F.col("doc_id").eqNullSafe(F.col("least")) & (F.col("doc_id").isNotNull() | (F.col("m") == 1))).alias("kept"))
     spark = docs.sparkSession
     small_batches(spark)
     sig = scratch(signatures(docs, id_col, text_col, size, bands_for(num, den)), "signatures")
     classes = scratch(sig.filter("n > 0 and doc_id is not null").groupBy("ckey").agg(F.min("doc_id").alias("cid"), F.max("n").alias("n"), F.first("bands").alias("bands")), "classes")
     release(spark)
     in_bucket = classes.select("cid", "n", F.explode("bands").alias("bucket"))
-    multi = in_bucket.join(in_bucket.groupBy("bucket").agg(F.count("*").alias("m")).filter("m > 1"), "bucket")
-    multi = scratch(multi, "buckets")
+    several = scratch(in_bucket.groupBy("bucket").agg(F.count("*").alias("m")).filter("m > 1"), "bucket-sizes")
+    multi = scratch(joined_by_key(in_bucket, several, "bucket", "m"), "buckets")
     release(spark)
     central = multi.join(multi.groupBy("cid").agg(F.sum("m").alias("s")), "cid")
-    hubs = central.groupBy("bucket").agg(F.max_by(F.struct(F.col("cid").alias("h"), F.col("n").alias("hn")), F.struct("s", -F.col("cid"))).alias("hub")).select("bucket", "hub.*")
+    hubs = central.groupBy("bucket").agg(F.max_by(F.struct(F.col("cid").alias("h"), F.col("n").alias("hn")), F.struct("s", -F.col("cid"))).alias("hub"), F.first("m").alias("hm")).select("bucket", "hm", "hub.*")
+    hubs = scratch(hubs, "hubs")
     fits = lambda a, b: den * F.least(a, b) >= num * F.greatest(a, b)  # noqa: E731 - sizes that can reach the threshold
-    stars = scratch(multi.join(hubs, "bucket").filter((F.col("cid") != F.col("h")) & fits(F.col("n"), F.col("hn"))).select(F.col("cid").alias("x"), "h").distinct(), "stars")
+    stars = scratch(joined_by_key(multi, hubs, "bucket", "hm").filter((F.col("cid") != F.col("h")) & fits(F.col("n"), F.col("hn"))).select(F.col("cid").alias("x"), "h").distinct(), "stars")
     release(spark)
 
     def blobs(batches):
@@ -195,8 +207,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     held = multi.join(labels.select(F.col("v").alias("cid"), "c"), "cid", "left").withColumn("c", F.coalesce("c", "cid"))
     held = scratch(held, "held")
-    open_ = held.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("bucket")
-    rest = scratch(held.filter("m > 2").join(open_, "bucket", "left_semi"), "rest")
+    open_ = scratch(held.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.first("m").alias("om")).filter("lo < hi and om > 2").select("bucket", "om"), "open")
+    rest = scratch(joined_by_key(held, open_, "bucket", "om").drop("om"), "rest")
     few = rest.filter(F.col("m") <= SMALL)
     a, b = few.alias("a"), few.alias("b")
     pairs = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.cid") > F.col("b.cid")) & (F.col("a.c") != F.col("b.c")) & fits(F.col("a.n"), F.col("b.n"))).select(F.col("a.cid").alias("x"), F.col("b.cid").alias("h")).distinct()
@@ -209,7 +221,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if not more.isEmpty():
             labels = components(links.union(more))
         release(spark)
-    of_class = classes.select("ckey", "cid").join(labels.select(F.col("v").alias("cid"), "c"), "cid", "left").select("ckey", F.coalesce("c", "cid").alias("c"))
-    some = sig.filter("n > 0").select("doc_id", "n", "ckey").join(of_class, "ckey", "left").select("doc_id", "n", "c")
+    of_class = classes.join(labels.select(F.col("v").alias("cid"), "c"), "cid", "left").join(sig.filter("n > 0").groupBy("ckey").agg(F.count("*").alias("m")), "ckey", "right").select("ckey", F.coalesce("c", "cid").alias("c"), "m")
+    some = joined_by_key(sig.filter("n > 0").select("doc_id", "n", "ckey"), scratch(of_class, "classes-of"), "ckey", "m").select("doc_id", "n", "c")
     out = some.union(sig.filter("n = 0").select("doc_id", "n", F.lit(None).cast("long")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("c", "doc_id"), F.col("c").isNull()).alias("kept"))
+
+
+def _by_row(docs: DataFrame, text_col: str, size: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """``docs`` with a number for each row, ``em_key``, and (em_key, n_shingles, component_id) of the rows."""
+    keyed = scratch(docs.withColumn("em_key", F.monotonically_increasing_id()), "numbered")
+    return keyed, near_duplicates(keyed, "em_key", text_col, size, num, den).select(F.col("doc_id").alias("em_key"), "n_shingles", "component_id")
+
+
+def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """One row of each component of similar texts, that of the least id (a null id is the greatest; of equal ids one row), and all rows without words.
+
+    Rows are documents: rows with null or repeated ids are held against others like any.
+    """
+    keyed, found = _by_row(docs, text_col, size, num, den)
+    named = found.join(keyed.select("em_key", F.col(id_col).alias("id")), "em_key")
+    kept = named.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "em_key")).alias("best")).select("best.em_key")
+    return keyed.join(scratch(kept, "kept").hint("merge"), "em_key", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -15,7 +15,10 @@ from evalmill.llm.common import crc_mod, read_table, scratch
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the lexicon, learned on the folds that aren't held out, scores below 0.5."""
+    """Documents that the lexicon, learned on the folds that aren't held out, scores below 0.5.
+
+    Null and empty texts have no hits and stay; equal rows are judged alike.
+    """
     lexicon = toxicity.train(docs, read_table(spark, sf_dir, "labels"), lambda i: crc_mod(i, 5) != 0)
     return toxicity.score(docs, lexicon).filter("em_toxicity < 0.5").drop("em_toxicity")
 
@@ -23,29 +26,29 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of similarity 0.8 or more on five-word shingles, that of the least id.
 
-    A document without words is its own group.  Rows that repeat an id stay once;
-    rows with a null id stay if their text has no group with an id.
+    A document without words is its own group.  Rows are documents: those with a
+    null id come after all others, and of rows that repeat an id in one group one
+    stays; in different groups each stays.
     """
-    found = minhash.near_duplicates(docs, num=4, den=5)
-    kept = scratch(found.filter("kept and doc_id is not null").select("doc_id").distinct(), "kept")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).union(docs.filter(F.col("doc_id").isNull()))
+    return minhash.distinct_documents(docs, num=4, den=5)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of the benchmark occurs."""
+    """Documents in which no window of the benchmark occurs; null texts have none and stay, equal rows are judged alike."""
     return decontam.remove_documents(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, its secrets replaced by a mask; n_chars follows the text."""
-    cols = docs.columns
-    out = secret_scan.redact(docs, out_col="em_redacted")
-    changed = ~F.col("em_redacted").eqNullSafe(F.col("text"))
-    return out.withColumns({"n_chars": F.when(changed, F.length("em_redacted").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")), "text": F.col("em_redacted")}).select(cols)
+    """Every document, its secrets replaced by a mask; n_chars, where there is one, follows the text.  Null texts stay null."""
+    out, new = secret_scan.redact(docs, out_col="em_redacted"), {"text": F.col("em_redacted")}
+    if "n_chars" in docs.columns:
+        changed = ~F.col("em_redacted").eqNullSafe(F.col("text"))
+        new["n_chars"] = F.when(changed, F.length("em_redacted").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return out.withColumns(new).select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Digests of the ids and decoded bytes of every document that is left."""
+    """Digests of the ids and decoded bytes of every document that is left; a null text is an empty one."""
     return bpe.digests(docs.select("doc_id", "text")).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 

@@ -4,9 +4,11 @@ Words are numbered by the vocabulary of the benchmark; a window of a document
 can only match where all its words are in it, and there a polynomial hash of the
 numbers is looked up in the set.  Every hit is verified on the words themselves.
 
-The set is broadcast in blocks of at most ``BLOCK_WORDS`` benchmark words; a
-larger benchmark takes more blocks, each a further pass over the same rows with
-no shuffle.  Null texts have no words.  An item of fewer words than a window is
+The set is broadcast in blocks of at most ``BLOCK_WORDS`` benchmark words, one
+at a time; a larger benchmark takes more blocks, and between them the rows with
+what was found so far are written to the shared folder, so that no two blocks
+are held at once.  Null texts have no words; repeated rows are marked alike; an
+empty table of either kind gives no hit.  An item of fewer words than a window is
 one window; an item without words none.  Equal items all count.
 """
 
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evalmill.llm.common import append_columns, small_batches
+from evalmill.llm.common import append_columns, discard, scratch, small_batches
 
 WINDOW = 10
 #: Words of benchmark text in one broadcast: the bound of its size, about 100 MB of tables at most.
@@ -109,8 +111,14 @@ def mark(df: DataFrame, benchmark: DataFrame, size: int = WINDOW, text_col: str
     small_batches(spark)
     fields = T.StructType([T.StructField(_SPANS, T.ArrayType(T.IntegerType())), T.StructField(_ITEMS, T.ArrayType(T.StringType()))])
     out = df.withColumns({_SPANS: F.array().cast("array<int>"), _ITEMS: F.array().cast("array<string>")})
-    keep = df.columns
+    keep, shared, written = df.columns, None, None
     for block in blocks(benchmark, size, item_col, item_text_col, block_words):
+        if shared is not None:
+            before, written = written, scratch(out, "marked")
+            out = written
+            shared.destroy()
+            if before is not None:
+                discard(before)
         shared = spark.sparkContext.broadcast(block)
 
         def run(texts, runs, items, shared=shared):

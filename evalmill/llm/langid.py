@@ -20,9 +20,8 @@ from pyspark.sql import types as T
 
 from evalmill.llm.common import append_columns, small_batches
 
-#: At most so many rows of each language, and so many languages (the most frequent), are learned from.
+#: At most so many rows of each language are learned from.
 ROWS_A_LANGUAGE = 300
-LANGUAGES = 64
 #: Characters of a row that are learned from: a stretch whose place the hash gives.
 STRETCH = 4096
 HIDDEN = 8
@@ -181,17 +180,20 @@ class ByteGRU:
         return out / np.maximum(1, np.array([len(t) for t in texts]))[:, None]
 
 
-def train(df: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", rows_a_language: int = ROWS_A_LANGUAGE, **fit) -> ByteGRU:
-    """A net from at most ``rows_a_language`` rows of each label: those with the least hash of the id, found by a threshold from counts."""
+def train(df: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", rows_a_language: int = ROWS_A_LANGUAGE, stretch: int = STRETCH, **fit) -> ByteGRU:
+    """A net of all labels from at most ``rows_a_language`` rows of each: those with the least hash of the id, found by a threshold from counts.
+
+    Of a longer text a stretch of ``stretch`` characters, anywhere, is learned from.
+    """
     known = df.filter(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(label_col).alias("y"), F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 40)).alias("h"), F.col(text_col).alias("t"))
-    counts = known.groupBy("y").count().orderBy(F.desc("count"), "y").limit(LANGUAGES).collect()
+    counts = known.groupBy("y").count().collect()  # a row a label
     if not counts:
         return ByteGRU(["und"])
     languages = sorted(r[0] for r in counts)
     edge = F.lit(-1)
     for r in counts:
         edge = F.when(F.col("y") == r[0], F.lit(min(1 << 40, int((1 << 40) * 1.5 * (rows_a_language + 30) / r[1])))).otherwise(edge)
-    rows = known.filter(F.col("h") < edge).select("y", "h", F.expr(f"substring(t, cast(1 + pmod(h, greatest(1, length(t) - {STRETCH} + 1)) as int), {STRETCH})").alias("t")).orderBy("h", "y", "t").limit(4 * rows_a_language * len(languages)).collect()
+    rows = known.filter(F.col("h") < edge).select("y", "h", F.expr(f"substring(t, cast(1 + pmod(h, greatest(1, length(t) - {stretch} + 1)) as int), {stretch})").alias("t")).orderBy("h", "y", "t").limit(4 * rows_a_language * len(languages)).collect()
     got: dict[str, list[bytes]] = {y: [] for y in languages}
     for y, _, t in rows:
         if len(got[y]) < rows_a_language:

@@ -3,7 +3,8 @@
 Each text has a histogram of character classes and one of common words.  They
 are compared with language references by the Jensen-Shannon distance (square
 root of the divergence in bits, 0 to 1).  References are measured over all
-texts that pass the base rules, one a language label.  Guards of least length
+texts that pass the base rules, one a language label (the labels are a closed
+set: their references are held by every task).  Guards of least length
 keep short texts from being judged by noise.
 
 Null texts have no words and fail the base rules.  Where no reference exists
@@ -17,9 +18,11 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from evalmill.llm.common import append_columns, map_batches, scratch, small_batches
 
@@ -33,8 +36,6 @@ COMMON_WORDS = {
     "pt": "de a o que e do da em um para com não uma os no se na por mais as dos como mas ao ele das à seu sua ou".split(),
 }
 WORD_AT = {w: k for k, w in enumerate(sorted({w for v in COMMON_WORDS.values() for w in v}))}
-#: Labels that get a reference: so many, the most frequent.
-LANGUAGES = 64
 MIN_CHARS, MIN_WORDS = 200, 50
 #: The most a text's characters may differ grows with the noise of a short text: MAX_CHAR_DISTANCE + CHAR_NOISE / sqrt(characters).
 MAX_CHAR_DISTANCE, CHAR_NOISE, MAX_WORD_DISTANCE = 0.17, 0.8, 0.45
@@ -124,12 +125,33 @@ def measure(df: DataFrame, text_col: str = "text") -> DataFrame:
     return append_columns(df, [text_col], run, T.StructType(_BASE.fields + _HISTOGRAMS.fields))
 
 
-def nearest(chars: np.ndarray, words: np.ndarray, refs: list) -> tuple[float, float, str | None]:
-    return min(((js_distance(chars, rc), js_distance(words, rw), y) for y, rc, rw in refs), key=lambda x: (x[0] + x[1], x[2]), default=(0.0, 0.0, None))
+def distances(rows: np.ndarray, ref: np.ndarray) -> np.ndarray:
+    """``js_distance`` of each row of counts to a distribution."""
+    total = rows.sum(axis=1)
+    p = rows / np.maximum(total, 1)[:, None]
+    m = (p + ref) / 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        both = np.where(p > 0, p * np.log2(p / m), 0).sum(axis=1) + np.where(ref > 0, ref * np.log2(ref / m), 0).sum(axis=1)
+    return np.where((total > 0) & (ref.sum() > 0), np.sqrt(np.maximum(both / 2, 0)), 1.0)
+
+
+def nearest(chars: np.ndarray, words: np.ndarray, refs: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distances of characters and words to the reference of the least sum, and its place; of equals the first."""
+    if not refs:
+        return np.zeros(len(chars)), np.zeros(len(chars)), np.zeros(len(chars), dtype=int)
+    c, w = np.array([distances(chars, rc) for _, rc, _ in refs]), np.array([distances(words, rw) for _, _, rw in refs])
+    best = (c + w).argmin(axis=0)
+    at = np.arange(len(chars))
+    return c[best, at], w[best, at], best
+
+
+def stacked(column, width: int) -> np.ndarray:
+    """An Arrow column of lists of ``width`` numbers as a matrix."""
+    return np.asarray(column.flatten()).reshape(-1, width).astype(float)
 
 
 def references(measured: DataFrame, lang_col: str = "lang", trim: float = TRIM) -> list[tuple[str, np.ndarray, np.ndarray]]:
-    """(label, characters, words) of the most frequent labels.
+    """(label, characters, words) of every label, in order.
 
     Means of the distributions of all texts that pass the base rules, then once
     more of those among them that are near a first mean: junk must not shape
@@ -137,17 +159,16 @@ def references(measured: DataFrame, lang_col: str = "lang", trim: float = TRIM)
     """
     n_chars, n_words = len(CLASSES), len(WORD_AT) + 1
     good = measured.filter(~F.col("base_failed") & F.col(lang_col).isNotNull())
-    labels = {r[0] for r in good.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(LANGUAGES).collect()}
 
     def means(first: list) -> list:
         def partial(batches):
             sums: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(n_chars + n_words))
             for b in batches:
-                for y, c, w in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                    if y in labels:
-                        c, w = np.array(c), np.array(w)
-                        if not first or nearest(c, w, first)[0] <= trim:
-                            sums[y] += np.concatenate([c / max(1, c.sum()), w / max(1, w.sum())])
+                c, w, y = stacked(b.column(1), n_chars), stacked(b.column(2), n_words), np.array(b.column(0).to_pylist(), dtype=object)
+                near = nearest(c, w, first)[0] <= trim if first else np.ones(len(c), dtype=bool)
+                both = np.hstack([c / np.maximum(1, c.sum(axis=1))[:, None], w / np.maximum(1, w.sum(axis=1))[:, None]])
+                for label in set(y[near].tolist()):
+                    sums[label] += both[near & (y == label)].sum(axis=0)
             yield {"y": [y for y, v in sums.items() for _ in v], "bin": [k for v in sums.values() for k in range(len(v))], "x": [float(x) for v in sums.values() for x in v]}
 
         rows = map_batches(good.select(F.col(lang_col).alias("y"), "em_chars", "em_words"), partial, "y string, bin int, x double").groupBy("y", "bin").agg(F.sum("x").alias("x")).collect()
@@ -167,20 +188,25 @@ def judge(measured: DataFrame, refs: list[tuple[str, np.ndarray, np.ndarray]], m
     histogram to tell and that histogram is too far from the nearest reference.
     """
 
-    def run(failed, chars, words):
-        near, dc, dw, kept = [], [], [], []
-        for f, c, w in zip(failed, chars, words, strict=True):
-            c, w = np.array(c), np.array(w)
-            best = nearest(c, w, refs)
-            near.append(best[2])
-            dc.append(best[0])
-            dw.append(best[1])
-            far = refs and (c.sum() >= min_chars and best[0] > max_char + noise / c.sum() ** 0.5 or w.sum() >= min_words and best[1] > max_word)
-            kept.append(bool(not f and not far))
-        return {"nearest": near, "char_distance": dc, "word_distance": dw, "kept": kept}
-
-    fields = T.StructType([T.StructField("nearest", T.StringType()), T.StructField("char_distance", T.DoubleType()), T.StructField("word_distance", T.DoubleType()), T.StructField("kept", T.BooleanType())])
-    return append_columns(measured, ["base_failed", "em_chars", "em_words"], run, fields).drop("em_chars", "em_words")
+    keep = [c for c in measured.columns if c not in ("em_chars", "em_words")]
+    fields = [T.StructField("nearest", T.StringType()), T.StructField("char_distance", T.DoubleType()), T.StructField("word_distance", T.DoubleType()), T.StructField("kept", T.BooleanType())]
+    keep = [c for c in keep if c.lower() not in {f.name for f in fields}]
+    struct = T.StructType([measured.schema[c] for c in keep] + fields)
+    arrow = to_arrow_schema(struct)
+    at = [measured.columns.index(c) for c in [*keep, "base_failed", "em_chars", "em_words"]]
+
+    def run(batches):
+        for b in batches:
+            cols = [b.column(i) for i in at]
+            c, w = stacked(cols[-2], len(CLASSES)), stacked(cols[-1], len(WORD_AT) + 1)
+            dc, dw, best = nearest(c, w, refs)
+            n_chars, n_words = c.sum(axis=1), w.sum(axis=1)
+            far = ((n_chars >= min_chars) & (dc > max_char + noise / np.sqrt(np.maximum(n_chars, 1)))) | ((n_words >= min_words) & (dw > max_word)) if refs else np.zeros(len(c), dtype=bool)
+            failed = np.array(cols[-3].to_pylist(), dtype=bool)
+            made = [pa.array([refs[k][0] for k in best.tolist()] if refs else [None] * len(c), pa.string()), pa.array(dc), pa.array(dw), pa.array(~failed & ~far)]
+            yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip([*cols[:-3], *made], arrow, strict=True)], schema=arrow)
+
+    return measured.mapInArrow(run, struct)
 
 
 def assess(df: DataFrame, text_col: str = "text", lang_col: str = "lang", **kw) -> DataFrame:

@@ -30,7 +30,6 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")  # a run is taken whole, so shorter runs are those that fail
 
 _OP = re.compile(r"[:=]")
-_NAME = re.compile(r"""([A-Za-z_][A-Za-z0-9_.\-]{0,127})["'\]]{0,2}[ \t]*$""")
 _OPERATOR = re.compile(r"(:=|=>|=(?![=~])|:(?!//|:))[ \t]*")
 _PART = re.compile(r"""[rbuf]{0,2}("{3}(?P<t>(?:[^"\\]|\\(?s:.)|"(?!""))*+)(?:"{3}|\Z)|'{3}(?P<u>(?:[^'\\]|\\(?s:.)|'(?!''))*+)(?:'{3}|\Z)|(?!"{3})"(?P<d>(?:[^"\\\n]|\\(?:\r?\n|.))*)"|(?!'{3})'(?P<s>(?:[^'\\\n]|\\(?:\r?\n|.))*)'|(?P<b>[A-Za-z0-9+/_.=~-]+))""", re.ASCII)
 _GAP, _GAP_INSIDE = re.compile(r"(?:[ \t]|\\\r?\n)*+"), re.compile(r"(?:\s|\\\r?\n|(?:#|//)[^\n]*)*+")
@@ -154,6 +153,19 @@ def resolved(text: str, at: int, known: dict[str, Value]) -> tuple[Value, int] |
     return (value, end) if value.parts else None
 
 
+def name_before(text: str, at: int, least: int) -> str:
+    """The name that ends before ``at``, perhaps in quotes or brackets, however long; empty if there is none."""
+    while at > least and text[at - 1] in " \t":
+        at -= 1
+    closed = at
+    while at > least and closed - at < 2 and text[at - 1] in "\"']":
+        at -= 1
+    lo = at
+    while lo > least and (text[lo - 1] in "_.-" or text[lo - 1].isascii() and text[lo - 1].isalnum()):
+        lo -= 1
+    return text[lo:at].lstrip("0123456789.-")
+
+
 def pairs(text: str):
     """(name, resolved value) of every assignment, in order."""
     known: dict[str, Value] = {}
@@ -161,14 +173,13 @@ def pairs(text: str):
     for m in _OP.finditer(text):
         if m.start() < upto or text[m.start() - 1 : m.start()] in ("=", "!", "<", ">", ":"):
             continue
-        lo = max(0, m.start() - 140, upto)
-        left = _NAME.search(text[lo : m.start()])
+        name = name_before(text, m.start(), upto)
         op = _OPERATOR.match(text, m.start())
-        if not left or not op:
+        if not name or not op:
             continue
         if got := resolved(text, op.end(), known):
-            known[left[1]], upto = got
-            yield left[1], got[0]
+            known[name], upto = got
+            yield name, got[0]
 
 
 def lexed_spans(text: str) -> list[tuple[int, int, int]]:

@@ -1,8 +1,8 @@
 """Toxicity by a weighted lexicon, matched by Aho-Corasick.
 
 Texts are lower-cased and folded: look-alike letters of other scripts and digits
-that stand for letters become the Latin letter.  A lexicon entry is a stem at
-the start of a word or a whole word, with a weight.  Exception phrases cancel
+that stand for letters become the Latin letter.  A lexicon entry is a stem of
+3 to 8 letters at the start of a word, or a whole word of 3 to 24, with a weight.  Exception phrases cancel
 the entries they cover.  Hits are normalised by length and a logistic curve
 makes the score.
 

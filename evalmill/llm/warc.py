@@ -11,7 +11,8 @@ are read, so a lost executor costs a repeated task and no record.
 Equal payloads of ``LEAST`` bytes or more are stored once: the record with the
 least page id is a response, others are revisits that refer to it.  Rows that
 repeat that least id are responses too.  A null payload is empty; a null id or
-url is left out; a null id revisits like any other.
+url is left out; a null id revisits like any other, and payloads that only null
+ids have are all responses.  An empty table gives no archive and no rows.
 """
 
 from __future__ import annotations
@@ -21,11 +22,12 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from urllib.parse import unquote_plus
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalmill.llm.common import map_batches, release, scratch, scratch_path, small_batches
+from evalmill.llm.common import BROADCAST_ROWS, map_batches, release, scratch, scratch_path, small_batches
 
 LEAST = 100
 LEVEL = 1
@@ -35,12 +37,26 @@ _CRLF = "\r\n"
 
 
 def decide(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """(page_id, url, payload, size, digest, refers_to), the last null for responses."""
+    """(page_id, url, payload, size, digest, refers_to), the last null for responses.
+
+    Digests that occur more than once, with their first id, are found on digests
+    and ids alone.  If they are few enough they are broadcast, and no payload is
+    shuffled; else payloads meet them by digest, those of no repeated digest
+    dealt evenly, those of a very common one by broadcast.
+    """
     p = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload")).withColumns({"size": F.octet_length("payload").cast("long"), "digest": F.sha2(F.col("payload").cast("binary"), 256)})
-    first = p.filter(F.col("size") >= least).groupBy("digest").agg(F.min("page_id").alias("first_id"))
-    joined = p.join(first.hint("merge"), "digest", "left")
-    again = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    return joined.select("page_id", "url", "payload", "size", "digest", F.when(again, F.col("first_id")).alias("refers_to"))
+    again = p.filter(F.col("size") >= least).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("em_n")).filter("em_n > 1 and first_id is not null")
+    again = scratch(again, "repeated")
+    if again.count() <= BROADCAST_ROWS:
+        joined = p.join(F.broadcast(again), "digest", "left")
+    else:
+        hot = again.orderBy(F.desc("em_n"), "digest").limit(BROADCAST_ROWS)
+        first = p.join(F.broadcast(hot), "digest", "left")
+        rest = again.join(F.broadcast(hot.select("digest")), "digest", "left_anti").select(F.col("digest").alias("em_digest"), F.col("first_id").alias("em_first"))
+        spread = F.when(F.col("first_id").isNull() & (F.col("size") >= least), F.col("digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string")))
+        joined = first.withColumn("em_key", spread).join(rest.hint("merge"), F.col("em_key") == F.col("em_digest"), "left").withColumn("first_id", F.coalesce("first_id", "em_first"))
+    repeats = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
+    return joined.select("page_id", "url", "payload", "size", "digest", F.when(repeats, F.col("first_id")).alias("refers_to"))
 
 
 def record(date: str = "1970-01-01T00:00:00Z") -> Column:
@@ -51,10 +67,10 @@ def record(date: str = "1970-01-01T00:00:00Z") -> Column:
     length = F.octet_length(http) + F.when(revisit, 0).otherwise(F.col("size"))
     head = F.concat(
         F.lit(f"WARC/1.0{_CRLF}WARC-Type: "), F.when(revisit, "revisit").otherwise("response"), F.lit(_CRLF),
-        F.coalesce(F.concat(F.lit("WARC-Record-ID: <urn:page:"), F.col("page_id").cast("string"), F.lit(f">{_CRLF}")), F.lit("")),
+        F.coalesce(F.concat(F.lit("WARC-Record-ID: <urn:page:"), F.url_encode(F.col("page_id").cast("string")), F.lit(f">{_CRLF}")), F.lit("")),
         F.coalesce(F.concat(F.lit("WARC-Target-URI: "), clean, F.lit(_CRLF)), F.lit("")),
         F.lit(f"WARC-Date: {date}{_CRLF}WARC-Payload-Digest: sha256:"), F.col("digest"), F.lit(_CRLF),
-        F.when(revisit, F.concat(F.lit(f"WARC-Profile: {PROFILE}{_CRLF}WARC-Refers-To: <urn:page:"), F.col("refers_to").cast("string"), F.lit(f">{_CRLF}"))).otherwise(""),
+        F.when(revisit, F.concat(F.lit(f"WARC-Profile: {PROFILE}{_CRLF}WARC-Refers-To: <urn:page:"), F.url_encode(F.col("refers_to").cast("string")), F.lit(f">{_CRLF}"))).otherwise(""),
         F.lit(f"Content-Type: application/http; msgtype=response{_CRLF}Content-Length: "), length.cast("string"), F.lit(_CRLF * 2),
     )
     return F.concat(head, http, F.when(revisit, "").otherwise(F.col("payload")), F.lit("\r\n\r"))
@@ -150,12 +166,12 @@ def normalise(spark: SparkSession, in_dir: str, out_dir: str) -> DataFrame:
     return scratch(map_batches(files, run, "archive string, index string, records long"), "archives")
 
 
-def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
+def read_archives(archives: DataFrame, payloads: bool = True, id_type: str = "long") -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to, url, payload) of all members; a wrong digest raises ValueError.
 
-    Every payload is read and held against its digest; without ``payloads`` the column is null.
+    Ids are given back as ``id_type``.  Every payload is read and held against its digest; without ``payloads`` the column is null.
     """
-    page = lambda v: int(m[1]) if v and (m := re.fullmatch(r"<urn:page:(-?\d+)>", v)) else None
+    page = lambda v: unquote_plus(m[1]) if v and (m := re.fullmatch(r"<urn:page:(.*)>", v)) else None
 
     def run(batches):
         for b in batches:
@@ -186,7 +202,8 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
 
     # the list of archives is small, so its partitions would be joined into one: ask for one an archive
     dealt = archives.select("archive", "index").repartition(max(1, archives.count()), "archive")
-    return map_batches(dealt, run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary")
+    rows = map_batches(dealt, run, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, url string, payload binary")
+    return rows.withColumns({c: F.col(c).cast(id_type) for c in ("page_id", "refers_to")})
 
 
 def round_trip(pages: DataFrame, least: int = LEAST) -> DataFrame:
@@ -196,4 +213,4 @@ def round_trip(pages: DataFrame, least: int = LEAST) -> DataFrame:
     whole, members = scratch_path(spark, "monolithic"), scratch_path(spark, "members")
     write_archives(decide(pages, least), whole)
     release(spark)
-    return read_archives(normalise(spark, whole, members), payloads=False)
+    return read_archives(normalise(spark, whole, members), payloads=False, id_type=pages.schema["page_id"].dataType.simpleString())

@@ -65,6 +65,18 @@ def secret_mask(c: Column, shown: int = 4) -> Column:
     return F.concat(F.repeat(F.lit("."), F.greatest(F.length(c) - shown, F.lit(0))), F.right(c, F.lit(shown)))
 
 
+def two_digits(c: Column, up: bool = False) -> Column:
+    """A number from 0 to below 1000 with two digits, rounded as the double it is, ties to the even digit or upwards."""
+    x = c.cast("double")
+    unit = F.when(x < 1, F.lit(2**60)).otherwise(F.lit(2**53))  # parts of a double: all of those that matter are whole
+    whole = unit.cast("decimal(38,0)")
+    twice = (x * unit.cast("double")).cast("long").cast("decimal(38,0)") * 200
+    n = F.call_function("div", twice + whole, whole * 2)
+    tie = (twice + whole) == n.cast("decimal(38,0)") * whole * 2
+    n = n if up else F.when(tie & (n % 2 == 1), n - 1).otherwise(n)
+    return F.format_string("%d.%02d", F.call_function("div", n, F.lit(100)), n % 100)
+
+
 def human_size(c: Column) -> Column:
     """Bytes as B, KB, MB, GB or TB of 1024, two digits, halves to even."""
     units = ["B", "KB", "MB", "GB", "TB"]

@@ -49,10 +49,22 @@ def config_sensitivity(results: DataFrame, key: str, config: str) -> DataFrame:
     )
 
 
-def latency_stats(df: DataFrame, key: str, value: str) -> DataFrame:
-    """Mean, sample deviation and interpolated 95th percentile of the values that aren't 0."""
+def latency_stats(df: DataFrame, key: str, value: str, q: float = 0.95) -> DataFrame:
+    """Mean, sample deviation and interpolated 95th percentile of the values that aren't 0.
+
+    Values are counted first; the percentile is read off running counts, which
+    are sorted and spilled as need be, so no buffer holds a key's values.
+    """
     c = F.col(value)
-    return df.filter(c != 0).groupBy(key).agg(F.avg(c).alias("mean"), F.stddev_samp(c).alias("deviation"), F.percentile(c, F.lit(0.95)).alias("p95"))
+    some = df.filter(c != 0)
+    counts = some.groupBy(key, c.alias("em_v")).agg(F.count("*").alias("em_n"))
+    sizes = some.groupBy(key).agg(F.avg(c).alias("mean"), F.stddev_samp(c).alias("deviation"), F.count("*").alias("em_size"))
+    upto = F.sum("em_n").over(Window.partitionBy(key).orderBy("em_v").rowsBetween(Window.unboundedPreceding, 0))
+    place = (F.col("em_size") - 1) * F.lit(q)
+    at = lambda k: F.min(F.when(F.col("em_upto") > k, F.col("em_v")))  # noqa: E731 - the value at a place counted from 0
+    found = counts.withColumn("em_upto", upto).join(sizes.select(key, "em_size"), key).withColumns({"em_lo": F.floor(place), "em_hi": F.ceil(place), "em_part": place - F.floor(place)})
+    p = found.groupBy(key).agg(at(F.col("em_lo")).alias("lo"), at(F.col("em_hi")).alias("hi"), F.first("em_part").alias("part")).select(key, (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("part")).alias("p95"))
+    return sizes.join(p, key).select(key, "mean", "deviation", "p95")
 
 
 def token_cost(tokens_in: Column, tokens_out: Column, price_in: Column, price_out: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evalmill.functions.text import two_digits
+
 
 def search(df: DataFrame, needle: str, text: str, tags: str | None = None) -> DataFrame:
     """Rows whose text holds ``needle`` or one of whose tags is it, in any case; nulls hold nothing."""
@@ -77,9 +79,9 @@ def is_memory_key(c: Column) -> Column:
 
 
 def success_share(passed: Column, failed: Column) -> Column:
-    """Text with two digits, or N/A where nothing was tried."""
+    """Text with two digits, or N/A where nothing was tried; the share is rounded as the double it is, ties upwards."""
     n = F.coalesce(passed, F.lit(0)) + F.coalesce(failed, F.lit(0))
-    return F.when(n > 0, F.format_string("%.2f", F.coalesce(passed, F.lit(0)) / n)).otherwise("N/A")
+    return F.when(n > 0, two_digits(F.coalesce(passed, F.lit(0)) / n, up=True)).otherwise("N/A")
 
 
 def missing_numbers(spark: SparkSession, n: int, done: DataFrame, col: str) -> DataFrame:

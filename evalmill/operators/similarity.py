@@ -12,24 +12,29 @@ from pyspark.sql import functions as F
 from evalmill.functions.text import ngrams
 
 
+def clipped_orders(pairs: DataFrame, key: str, orders: int) -> DataFrame:
+    """(key, n, hits, total) of n-grams of ``hyp`` (tokens) for each order, each counted at most as often as in ``ref``; pairs are read once."""
+    marked = lambda n: lambda g: F.struct(F.lit(n).alias("n"), g.alias("g"))
+    grams = lambda c: F.flatten(F.array(*[F.transform(ngrams(F.col(c), n), marked(n)) for n in range(1, orders + 1)]))
+    side = lambda c, have, most: pairs.select(key, F.explode(grams(c)).alias("x")).select(key, "x.n", "x.g", F.lit(have).alias("have"), F.lit(most).alias("most"))
+    counts = side("hyp", 1, 0).union(side("ref", 0, 1)).groupBy(key, "n", "g").agg(F.sum("have").alias("have"), F.sum("most").alias("most"))
+    return counts.groupBy(key, "n").agg(F.sum(F.least("have", "most")).alias("hits"), F.sum("have").alias("total")).filter("total > 0")
+
+
 def clipped(pairs: DataFrame, key: str, n: int) -> DataFrame:
-    """(key, hits, total): n-grams of ``hyp`` (tokens), each counted at most as often as in ``ref``."""
-    h = pairs.select(key, F.explode(ngrams(F.col("hyp"), n)).alias("g")).groupBy(key, "g").agg(F.count("*").alias("have"))
-    r = pairs.select(key, F.explode(ngrams(F.col("ref"), n)).alias("g")).groupBy(key, "g").agg(F.count("*").alias("most"))
-    return h.join(r, [key, "g"], "left").groupBy(key).agg(F.sum(F.least("have", F.coalesce("most", F.lit(0)))).alias("hits"), F.sum("have").alias("total"))
+    """(key, hits, total) of the n-grams of one order."""
+    return clipped_orders(pairs, key, n).filter(F.col("n") == n).drop("n")
 
 
 def corpus_bleu(pairs: DataFrame, key: str, orders: int = 4, epsilon: float = 0.1) -> DataFrame:
     """One row: counts of all pairs together, zero counts smoothed by epsilon, times the brevity penalty."""
-    total = None
-    for n in range(1, orders + 1):
-        one = clipped(pairs, key, n).agg(F.coalesce(F.sum("hits"), F.lit(0)).alias(f"h{n}"), F.greatest(F.coalesce(F.sum("total"), F.lit(0)), F.lit(1)).alias(f"t{n}"))
-        total = one if total is None else total.crossJoin(one)  # one row each
+    of = lambda c, n: F.coalesce(F.sum(F.when(F.col("n") == n, F.col(c))), F.lit(0))
+    total = clipped_orders(pairs, key, orders).agg(*[x for n in range(1, orders + 1) for x in (of("hits", n).alias(f"h{n}"), F.greatest(of("total", n), F.lit(1)).alias(f"t{n}"))])
     lengths = pairs.agg(F.sum(F.size("hyp")).alias("hl"), F.sum(F.size("ref")).alias("rl"))
     logs = [F.log(F.when(F.col(f"h{n}") == 0, F.lit(epsilon)).otherwise(F.col(f"h{n}")) / F.col(f"t{n}")) for n in range(1, orders + 1)]
     mean = sum(logs[1:], logs[0]) / orders
     penalty = F.when(F.col("hl") > F.col("rl"), 1.0).when(F.col("hl") == 0, 0.0).otherwise(F.exp(1 - F.col("rl") / F.col("hl")))
-    return total.crossJoin(lengths).withColumn("bleu", F.when(F.col("h1") == 0, 0.0).otherwise(penalty * F.exp(mean)))
+    return total.crossJoin(lengths).withColumn("bleu", F.when(F.col("h1") == 0, 0.0).otherwise(penalty * F.exp(mean)))  # one row each
 
 
 def smooth(hits: list[int], totals: list[int], method: int, length: int = 0, extra: tuple[int, int] | None = None, epsilon: float = 0.1, alpha: float = 5, k: float = 5) -> list[float]:

@@ -24,16 +24,6 @@ def first_by_hash(drawn: DataFrame, k: int, seed: str) -> DataFrame:
     return got.select("qid", F.posexplode("m").alias("pos", "m")).select("qid", "pos", F.col("m.cid").alias("cid"))
 
 
-def bucket_distractors(questions: DataFrame, pool: DataFrame, k: int, seed: str, buckets: int = 256) -> DataFrame:
-    """(qid, pos, cid) of at most k passages in the bucket that a question's hash names and the next one.
-
-    The rule of the SQL of ``distractor_sample``: where the two buckets hold
-    fewer than k, there are fewer.  ``distractors`` always finds k.
-    """
-    q = questions.select("qid", "oracle", F.explode(F.transform(F.sequence(F.lit(0), F.lit(1)), lambda i: F.pmod(hash_bucket(F.col("qid"), seed, buckets) + i, F.lit(buckets)))).alias("bucket"))
-    return first_by_hash(q.join(pool.select("cid", hash_bucket(F.col("cid"), seed, buckets).alias("bucket")), "bucket").filter(F.col("cid") != F.col("oracle")), k, seed)
-
-
 def distractors(questions: DataFrame, pool: DataFrame, k: int, seed: str) -> DataFrame:
     """(qid, pos, cid) of k passages for each question, sampled by hash, its own (oracle) left out; fewer only if the pool holds fewer.
 

@@ -12,26 +12,15 @@ from evalmill.functions import calls as C
 from evalmill.functions import schemas, source_calls
 from evalmill.functions import text as X
 from evalmill.operators import actions, battles, conversation, relational, retrieval, scoring, services, similarity, synthesis
+from evalmill.functions import pages as P
+from evalmill.plans.registry import ORACLE, QUERIES, query
 from evalmill.sources.tables import shared_folder, stored, table
 from evalmill.streaming import rates
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
-
 #: Weights of the categories in the overall score.
 WEIGHTS = {"en": 40, "de": 30, "fr": 20, "es": 10}
 
 
-def query(sql: str | None = None):
-    def add(fn):
-        QUERIES[fn.__name__] = fn
-        if sql:
-            ORACLE[fn.__name__] = sql
-        return fn
-
-    return add
-
-
 def _results(spark: SparkSession, d: str) -> DataFrame:
     """Validity of rows: a source stands for a model, a language for a category."""
     docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("model"), F.col("lang").alias("category"), "n_chars")
@@ -185,9 +174,23 @@ def win_matrix(spark, d):
     return battles.win_matrix(_battles(spark, d))
 
 
-@query()
+_ELO = """WITH RECURSIVE o AS (SELECT event_type AS category, row_number() OVER (PARTITION BY event_type ORDER BY event_id ORDERING) AS n, user_id % 12 AS a, (user_id % 12 + 1 + event_id % 11) % 12 AS b,
+  CASE event_id % 7 WHEN 0 THEN 0.5::DOUBLE WHEN 1 THEN 0.5::DOUBLE WHEN 2 THEN 0::DOUBLE WHEN 3 THEN 0::DOUBLE ELSE 1::DOUBLE END AS s FROM events),
+f(category, n, r, seen) AS (SELECT DISTINCT category, 0::BIGINT, list_transform(range(12), lambda i: 1000::DOUBLE), list_transform(range(12), lambda i: false) FROM o
+  UNION ALL SELECT o.category, o.n, list_transform(range(1, 13), lambda i: CASE WHEN i = a + 1 THEN r[i] + 4 * (s - 1 / (1 + 10 ** ((r[b + 1] - r[a + 1]) / 400))) WHEN i = b + 1 THEN r[i] - 4 * (s - 1 / (1 + 10 ** ((r[b + 1] - r[a + 1]) / 400))) ELSE r[i] END),
+  list_transform(range(1, 13), lambda i: seen[i] OR i = a + 1 OR i = b + 1) FROM f JOIN o ON o.category = f.category AND o.n = f.n + 1),
+l AS (SELECT category, arg_max(r, n) AS r, arg_max(seen, n) AS seen FROM f GROUP BY 1)
+SELECT category, 'agent' || i AS name, round(r[i + 1], 6) AS rating FROM (SELECT category, r, seen, unnest(range(12)) AS i FROM l) WHERE seen[i + 1]"""
+
+
+@query(_ELO.replace("ORDERING", ""))
 def online_elo(spark, d):
-    return battles.online_elo(_battles(spark, d), "category")
+    return battles.online_elo(_battles(spark, d), "category").withColumn("rating", F.round("rating", 6))
+
+
+@query(_ELO.replace("ORDERING", "DESC"))
+def online_elo_reverse(spark, d):
+    return battles.online_elo(_battles(spark, d), "category", reverse=True).withColumn("rating", F.round("rating", 6))
 
 
 @query()
@@ -359,12 +362,21 @@ def _synth(spark, d):
     return q, pool
 
 
-@query("""WITH q AS (SELECT item_id AS qid, ('0x' || substring(md5('s' || item_id), 1, 8))::BIGINT % 256 AS b FROM benchmark),
-p AS (SELECT doc_id AS cid, ('0x' || substring(md5('s' || doc_id), 1, 8))::BIGINT % 256 AS b FROM documents)
-SELECT qid, pos, cid FROM (SELECT qid, cid, row_number() OVER (PARTITION BY qid ORDER BY md5('s' || qid || '/' || cid)) - 1 AS pos FROM q JOIN p ON p.b = q.b OR p.b = (q.b + 1) % 256 WHERE cid <> qid) WHERE pos < 4""")
+def _drawn(k: int, seed: str = "s") -> str:
+    """CTEs up to ``drawn`` (qid, pos, cid): k passages of the least hash in the first run of 1, 2, 4 ... buckets that holds as many."""
+    return f"""pool AS (SELECT doc_id AS cid, ('0x' || substring(md5('{seed}' || doc_id), 1, 8))::BIGINT AS h FROM documents),
+size AS (SELECT greatest(1, count(*) // {4 * (k + 1)}) AS n FROM pool),
+q AS (SELECT item_id AS qid, ('0x' || substring(md5('{seed}' || item_id), 1, 8))::BIGINT % n AS b, n FROM benchmark, size),
+near AS (SELECT qid, cid, n, (h % n - b + n) % n AS far FROM q, pool WHERE cid <> qid),
+runs AS (SELECT qid, s, n, count(*) FILTER (far < s) AS c FROM near, (SELECT unnest([1, 2, 4, 8, 16, 32, 64, 128, 256, 512, 1024, 2048, 4096, 8192, 16384, 32768, 65536, 131072]) AS s) GROUP BY ALL),
+span AS (SELECT qid, min(s) AS s FROM runs WHERE c >= {k} OR s >= n GROUP BY 1),
+drawn AS (SELECT qid, pos, cid FROM (SELECT near.qid, cid, row_number() OVER (PARTITION BY near.qid ORDER BY md5('{seed}' || near.qid || '/' || cid)) - 1 AS pos FROM near JOIN span USING (qid) WHERE far < s) WHERE pos < {k})"""
+
+
+@query(f"WITH {_drawn(4)} SELECT qid, pos, cid FROM drawn")
 def distractor_sample(spark, d):
     q, pool = _synth(spark, d)
-    return synthesis.bucket_distractors(q.select("qid", "oracle"), pool.select("cid"), 4, "s").withColumn("pos", F.col("pos").cast("long"))
+    return synthesis.distractors(q.select("qid", "oracle"), pool.select("cid"), 4, "s").withColumn("pos", F.col("pos").cast("long"))
 
 
 def _rows(spark, d):
@@ -373,17 +385,25 @@ def _rows(spark, d):
     return q.join(got, "qid", "left").select(F.col("qid").alias("id"), "question", synthesis.instruction(F.coalesce("passages", F.array().cast("array<string>")), F.col("question")).alias("instruction"), F.concat(F.lit("##Reason <ANSWER>: "), F.col("question")).alias("cot_answer"))
 
 
-@query()
+_ROWS = _drawn(3) + """,
+own AS (SELECT item_id AS qid, 2 AS pos, item_id AS cid FROM benchmark WHERE ('0x' || substring(md5('sp/' || item_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE < 0.8 AND item_id IN (SELECT doc_id FROM documents)),
+chosen AS (SELECT qid, cid FROM drawn WHERE pos < 2 OR qid NOT IN (SELECT qid FROM own) UNION ALL SELECT qid, cid FROM own),
+found AS (SELECT qid, string_agg('<DOCUMENT>' || text || '</DOCUMENT>' || chr(10), '' ORDER BY md5('so/' || qid || '/' || cid), cid) AS passages FROM chosen JOIN documents ON doc_id = cid GROUP BY 1),
+made AS (SELECT item_id AS id, text AS question, coalesce(passages, '') || text AS instruction, '##Reason <ANSWER>: ' || text AS cot_answer FROM benchmark LEFT JOIN found ON qid = item_id)"""
+
+
+@query(f"WITH {_ROWS} SELECT id, instruction AS prompt, cot_answer AS completion FROM made WHERE length(instruction) > 0 AND length(cot_answer) > 0")
 def synthesis_completion(spark, d):
     return synthesis.completion(_rows(spark, d))
 
 
-@query()
+@query(f"WITH {_ROWS} SELECT id, 'system,user,assistant' AS roles, 'You answer from the documents.' AS system, instruction AS asked, cot_answer AS answered FROM made")
 def synthesis_chat(spark, d):
-    return synthesis.chat(_rows(spark, d), "You answer from the documents.").select("id", F.to_json("messages").alias("messages"))
+    said = lambda i: F.get("messages", i)["content"]
+    return synthesis.chat(_rows(spark, d), "You answer from the documents.").select("id", F.array_join(F.transform("messages", lambda m: m["role"]), ",").alias("roles"), said(0).alias("system"), said(1).alias("asked"), said(2).alias("answered"))
 
 
-@query()
+@query(f"WITH {_ROWS} SELECT id, question, string_split(cot_answer, '<ANSWER>: ')[-1] AS gold_final_answer, regexp_replace(instruction, '\\n?[^\\n]*$', '') AS context FROM made")
 def synthesis_eval(spark, d):
     return synthesis.evaluation(_rows(spark, d))
 
@@ -414,53 +434,19 @@ def success_rate_30m(spark, d):
 @query(_RATE)
 def stream_success_rate_30m(spark, d):
     """The same as a stream: all files that are there, windows closed by the end of input."""
-    base = shared_folder(spark)
-    src = table(spark, d, "events").schema
-    name = f"{base.rstrip('/')}/evalmill/stream-{uuid.uuid4().hex}"
-    events = spark.readStream.schema(src).option("pathGlobFilter", "events.parquet").parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))
-
-    def keep(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{name}/out")
-
-    q = rates.success_rate(events).writeStream.outputMode("complete").option("checkpointLocation", f"{name}/state").trigger(availableNow=True).foreachBatch(keep).start()
-    q.awaitTermination()
-    return spark.read.parquet(f"{name}/out").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    name = f"{shared_folder(spark)}/evalmill/stream-{uuid.uuid4().hex}"
+    events = rates.table_stream(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return rates.newest_windows(rates.success_rate(events), name).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 @query()
 def html_to_text(spark, d):
     """Text of pages without scripts and styles, a node a line."""
-    from html.parser import HTMLParser
-
-    class Text(HTMLParser):
-        def __init__(self):
-            super().__init__()
-            self.parts, self.skip = [], 0
-
-        def handle_starttag(self, tag, attrs):
-            self.skip += tag in ("script", "style")
-
-        def handle_endtag(self, tag):
-            self.skip -= tag in ("script", "style") and self.skip > 0
-
-        def handle_data(self, data):
-            if not self.skip and data.strip():
-                self.parts.append(data.strip())
-
-    def run(frames):
-        for pdf in frames:
-            out = []
-            for h in pdf["html"]:
-                p = Text()
-                p.feed(h or "")
-                p.close()
-                out.append("\n".join(p.parts))
-            yield pd.DataFrame({"page_id": pdf["page_id"], "text": out})
-
-    return table(spark, d, "pages").select("page_id", "html").mapInPandas(run, "page_id long, text string")
+    return P.converted(table(spark, d, "pages").select("page_id", "html"), "html", "truncate")
 
 
-@query()
+@query("""SELECT c_custkey, c_acctbal > 0 AS valid, CASE WHEN c_acctbal > 0 THEN NULL ELSE 'value_error:others' END AS error_type,
+'[{"lookup": {"name": "' || c_name || '", "nation": ' || c_nationkey || ', "vip": ' || CASE WHEN c_acctbal > 0 THEN 'true' ELSE 'false' END || '}}]' AS decoded FROM customer""")
 def decode_and_check_calls(spark, d):
     """Calls written from customers, decoded and checked against their truth."""
     made = table(spark, d, "customer").select("c_custkey", F.format_string("[lookup(name='%s', nation=%d, vip=%s)]", "c_name", "c_nationkey", F.when(F.col("c_acctbal") > 0, "True").otherwise("False")).alias("output"), "c_name", "c_nationkey")
@@ -630,15 +616,23 @@ def memory_key_rules(spark, d):
     return table(spark, d, "part").select("p_partkey", services.is_memory_key(F.replace("p_name", F.lit(" "), F.lit("_"))).alias("valid_name"), services.is_memory_key(F.lower("p_brand")).alias("valid_brand"))
 
 
-@query("SELECT user_id, CASE WHEN count(*) FILTER (event_type IN ('error', 'purchase')) > 0 THEN format('{:.2f}', count(*) FILTER (event_type = 'purchase') / count(*) FILTER (event_type IN ('error', 'purchase'))) ELSE 'N/A' END AS share FROM events GROUP BY 1")
+#: The share as the double it is: its parts of 2^-60 are whole, halves of a hundredth go up.
+_SHARE = """WITH n AS (SELECT user_id, count(*) FILTER (event_type = 'purchase') AS p, count(*) FILTER (event_type IN ('error', 'purchase')) AS n FROM events GROUP BY 1),
+x AS (SELECT user_id, n, CASE WHEN n > 0 THEN CAST(floor(p / n * 1152921504606846976::DOUBLE) AS HUGEINT) * 200 ELSE 0 END AS s FROM n),
+c AS (SELECT user_id, n, CAST((s + 1152921504606846976::HUGEINT) // (2 * 1152921504606846976::HUGEINT) AS BIGINT) AS c FROM x)
+SELECT user_id, CASE WHEN n > 0 THEN format('{}.{:02d}', c // 100, c % 100) ELSE 'N/A' END AS share FROM c"""
+
+
+@query(_SHARE)
 def success_share(spark, d):
     n = table(spark, d, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "purchase").alias("p"), F.count_if(F.col("event_type") == "error").alias("f"))
     return n.select("user_id", services.success_share(F.col("p"), F.col("f")).alias("share"))
 
 
-@query("SELECT range AS doc_id FROM range(100000) WHERE range NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
+@query("SELECT range AS doc_id FROM range((SELECT coalesce(max(doc_id) + 1, 0) FROM documents)) WHERE range NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
 def missing_parts(spark, d):
-    return services.missing_numbers(spark, 100_000, table(spark, d, "labels"), "doc_id")
+    n = table(spark, d, "documents").agg(F.coalesce(F.max("doc_id") + 1, F.lit(0))).first()[0]
+    return services.missing_numbers(spark, n, table(spark, d, "labels"), "doc_id")
 
 
 @query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1")

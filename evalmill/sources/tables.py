@@ -10,11 +10,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from evalmill.functions.text import two_digits
+
 _CALL = T.ArrayType(T.MapType(T.StringType(), T.MapType(T.StringType(), T.StringType())))
 #: Schemas of the record files; nested values of mixed types stay JSON text.
 SCHEMAS = {
     "prompt": "id string, question array<array<struct<role string, content string>>>, function array<struct<name string, description string, parameters string>>, involved_classes array<string>, depends_on array<string>, scenario string",
     "truth": T.StructType([T.StructField("id", T.StringType()), T.StructField("ground_truth", _CALL)]),
+    "truth_text": "id string, ground_truth string",
     "result": "model string, category string, id string, result string, input_token_count string, output_token_count string, latency string",
     "battle": "Agent_A struct<`Agent name` string, Category array<string>, Frameworks array<string>, Models array<string>, Tools array<string>>, Agent_B struct<`Agent name` string, Category array<string>, Frameworks array<string>, Models array<string>, Tools array<string>>, Rating string",
 }
@@ -80,5 +83,5 @@ def write_results(df: DataFrame, path: str) -> None:
 
 def write_ranked_csv(df: DataFrame, path: str, percent: list[str]) -> None:
     """A leaderboard as CSV: shares as per cent of two digits, null as N/A."""
-    shown = df.withColumns({c: F.coalesce(F.format_string("%.2f%%", F.col(c) * 100), F.lit("N/A")) for c in percent})
+    shown = df.withColumns({c: F.coalesce(F.concat(two_digits(F.col(c) * 100), F.lit("%")), F.lit("N/A")) for c in percent})
     shown.coalesce(1).sortWithinPartitions("rank").write.mode("overwrite").option("header", True).csv(path)

@@ -65,11 +65,11 @@ def main(argv: list[str] | None = None) -> None:
         for name, members in COLLECTIONS.items():
             print(f"{name}: {', '.join(members)}")
     elif args.verb == "queries":
-        from evalmill.plans import catalogue, more  # noqa: F401 - both register
+        from evalmill.plans import catalogue, more, sessions  # noqa: F401 - all register
 
         print("\n".join(catalogue.QUERIES))
     elif args.verb == "run":
-        from evalmill.plans import catalogue, more  # noqa: F401 - both register
+        from evalmill.plans import catalogue, more, sessions  # noqa: F401 - all register
 
         df = catalogue.QUERIES[args.query](session(), args.tables)
         df.write.mode("overwrite").parquet(args.out) if args.out else df.show(20, truncate=False)

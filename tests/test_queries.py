@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from evalmill.plans import catalogue, more  # noqa: F401 - both register their queries
+from evalmill.plans import catalogue, more, sessions  # noqa: F401 - all register their queries
 
 D = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

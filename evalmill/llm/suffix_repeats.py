@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evalmill.llm.common import append_columns, discard, map_batches, release, scratch, small_batches
+from evalmill.llm.common import BROADCAST_ROWS, append_columns, discard, joined_by_key, map_batches, release, scratch, small_batches
 from evalmill.llm.shingles import _BYTES, mix, powers
 
 LENGTH = 400
@@ -159,54 +159,75 @@ def columns(rows: list, names: list[str]) -> dict[str, list]:
     return dict(zip(names, map(list, cols), strict=True))
 
 
+def in_pieces(rows: Iterator[tuple], names: list[str], most: int = 1 << 20) -> Iterator[dict[str, list]]:
+    """Columns of rows with a text in the field ``seg``, about ``most`` bytes at a time: segments overlap, so they are much more than the texts they come from."""
+    at, held, size = names.index("seg"), [], 0
+    for r in rows:
+        held.append(r)
+        size += len(r[at]) + 100
+        if size >= most:
+            yield columns(held, names)
+            held, size = [], 0
+    yield columns(held, names)
+
+
 def _cut(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """The wanted entries with the text of their segment; they share the gram, ``l`` = 0 bytes left of the anchor and ``r`` right."""
-    lists = wanted.groupBy("id", "th", "nb").agg(F.collect_list(F.struct("gram", "seg", "c", "s", "e", "a")).alias("w"))
+    lists = wanted.groupBy("id", "th", "nb").agg(F.collect_list(F.struct("gram", "seg", "c", "s", "e", "a", "k")).alias("w"))
 
-    def run(batches):
+    def entries(batches):
         for b in batches:
-            rows = []
             for th, nb, t, w in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 raw = (t or "").encode()
-                rows += [(x["gram"], x["gram"], x["seg"], x["c"], th, nb, x["s"], x["e"], x["a"], 0, GRAM, raw[x["s"] : x["e"] + length]) for x in w]
-            yield columns(rows, _FIELDS)
+                for x in w:
+                    yield (x["gram"], x["gram"], x["seg"], x["c"], th, nb, x["s"], x["e"], x["a"], 0, GRAM, raw[x["s"] : x["e"] + length], x["k"])
+
+    def run(batches):
+        return in_pieces(entries(batches), [*_FIELDS, "k"])
 
     # of equal texts only that of the least id is cut; rows that repeat it are one entry of a group
     joined = texts.join(lists.hint("merge"), ["id", "th", "nb"]).select("th", "nb", "t", "w")
-    return map_batches(joined, run, _ENTRY)
+    return map_batches(joined, run, f"{_ENTRY}, k long")
 
 
 def _split(entries: DataFrame, length: int) -> DataFrame:
     """The entries of large groups by longer contexts: the next half on the right, or what a repeat that ends before it has on the left."""
 
-    def run(batches):
+    def parts(batches):
         for b in batches:
-            rows = []
             for key, gram, h, c, th, nb, s, e, a, left, right, seg in zip(*(b.column(i).to_pylist() for i in range(len(_FIELDS))), strict=True):
                 missing = length - left - right
                 half = (missing + 1) // 2
                 for x, y in ((left, right + half), (left + missing - half + 1, right)):
                     if x <= a - s and a - s + y <= len(seg):
                         shared = xxhash.xxh3_64_intdigest(seg[a - s - x : a - s + y], seed=(key * 8191 + x) & 0xFFFFFFFFFFFFFFFF)
-                        rows.append((shared - (1 << 63), gram, h, c, th, nb, s, e, a, x, y, seg))
-            yield columns(rows, _FIELDS)
+                        yield (shared - (1 << 63), gram, h, c, th, nb, s, e, a, x, y, seg)
+
+    def run(batches):
+        return in_pieces(parts(batches), _FIELDS)
 
     return map_batches(entries.select(_FIELDS), run, _ENTRY)
 
 
-def _groups(parts: _Parts, length: int, group: int) -> Iterator[tuple[bool, DataFrame]]:
-    """(False, entries of groups of 2 to ``group`` entries) and (True, those of larger groups that share ``length`` bytes)."""
-    yield False, parts.cut(F.col("k") <= group)
-    if parts.several.filter(F.col("k") > group).isEmpty():
-        return
-    large = scratch(parts.cut(F.col("k") > group), "large")
+def _groups(grouped: DataFrame, length: int, group: int) -> Iterator[tuple[bool, DataFrame]]:
+    """(False, entries of groups of 2 to ``group`` entries) and (True, those of larger groups that share ``length`` bytes), from entries with their group's size ``k``.
+
+    What is yielded must be written before the next is asked for.
+    """
+    yield False, grouped.filter(F.col("k") <= group)
+    large = scratch(grouped.filter(F.col("k") > group).select(_FIELDS), "large")
+    discard(grouped)
     while not large.isEmpty():
         rows = scratch(_split(large, length), "split")
-        n = rows.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1")
-        rows = rows.join(n, "key").select(*_FIELDS, "k")
-        yield False, rows.filter(F.col("k") <= group)
-        yield True, rows.filter((F.col("k") > group) & (F.col("l") + F.col("r") >= length))
-        large = scratch(rows.filter((F.col("k") > group) & (F.col("l") + F.col("r") < length)).select(_FIELDS), "large")
+        discard(large)
+        n = scratch(rows.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1"), "sizes")
+        several = joined_by_key(rows, n, "key", "k")
+        yield False, several.filter(F.col("k") <= group)
+        yield True, several.filter((F.col("k") > group) & (F.col("l") + F.col("r") >= length))
+        large = scratch(several.filter((F.col("k") > group) & (F.col("l") + F.col("r") < length)).select(_FIELDS), "large")
+        discard(rows)
+        release(rows.sparkSession)
+    discard(large)
 
 
 def arranged(rows: list[tuple], length: int) -> Iterator[tuple[int, int, list[int]]]:
@@ -273,9 +294,9 @@ class _Parts:
         self.texts, self.length = texts, length
         self.several = self.entries.groupBy("gram").agg(F.count("*").alias("k")).filter("k > 1")
 
-    def cut(self, which) -> DataFrame:
-        """The entries, with their text, of the groups for whose number of entries ``k`` the condition holds."""
-        wanted = self.entries.join(self.several.filter(which), "gram").select("gram", "seg", "c", "at.*")
+    def cut(self) -> DataFrame:
+        """The entries of groups of several, with their text and the group's size ``k``."""
+        wanted = self.entries.join(self.several, "gram").select("gram", "seg", "c", "at.*", "k")
         return _cut(self.texts, wanted, self.length)
 
 
@@ -287,11 +308,13 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = scratch(whole, "whole")
     discard(p.runs)
     release(spark)
-    for whole_window, part in _groups(p, length, group):
+    grouped = scratch(p.cut(), "grouped")
+    discard(p.entries)
+    release(spark)
+    for whole_window, part in _groups(grouped, length, group):
         ends = part.filter("c = 1").select("th", "nb", (F.col("a") - F.col("l")).alias("start"), (F.col("a") + F.col("r")).alias("end")).distinct() if whole_window else reaches(part, length)
         found = found.union(scratch(ends, "spans"))
         release(spark)
-    discard(p.entries)
     return found.groupBy("th", "nb").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
@@ -318,7 +341,7 @@ def repeat_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield columns([(named(r, r[9], r[10]), r[1], r[2], r[9], r[10]) for r in rows], [x.split()[0] for x in schema.split(", ")])
 
     found = docs.sparkSession.createDataFrame([], schema)
-    for whole_window, part in _groups(p, length, group):
+    for whole_window, part in _groups(scratch(p.cut(), "grouped"), length, group):
         found = found.union(scratch(map_batches(part.select(_FIELDS), windows, schema) if whole_window else _by_group(part, members, schema), "groups"))
     found = found.distinct()
     entry = [F.xxhash64("gram", "seg").alias("group"), "gram", "seg", (F.col("at.a") - F.col("at.s")).alias("left"), (F.col("at.e") + length - F.col("at.a")).alias("right")]
@@ -341,11 +364,22 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def _with_spans(keyed: DataFrame, spans: DataFrame, hot: int = 1000, most: int = 1_000_000) -> DataFrame:
+    """``keyed`` with the spans of its texts, or null.  Texts of very many rows meet their spans by broadcast, if these are ``most`` at most."""
+    often = scratch(keyed.groupBy("th", "nb").agg(F.count("*").alias("em_n")).filter(F.col("em_n") > hot).orderBy(F.desc("em_n"), "th", "nb").limit(BROADCAST_ROWS).select("th", "nb"), "often")
+    theirs = spans.join(F.broadcast(often), ["th", "nb"])
+    if often.isEmpty() or (theirs.agg(F.sum(F.size("spans"))).first()[0] or 0) > most:
+        return keyed.join(spans.hint("merge"), ["th", "nb"], "left")
+    many = keyed.join(F.broadcast(often), ["th", "nb"]).join(F.broadcast(theirs), ["th", "nb"], "left")
+    few = keyed.join(F.broadcast(often), ["th", "nb"], "left_anti")
+    return many.unionByName(few.join(spans.hint("merge"), ["th", "nb"], "left"))
+
+
 def removal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, group: int = GROUP) -> DataFrame:
     """``id_col``, n_bytes, n_removed, n_spans, kept (the remaining bytes) for each row."""
     spans = repeated_spans(docs, id_col, text_col, length, group)
     keyed = _keyed(docs, id_col, text_col)
-    joined = keyed.join(spans.hint("merge"), ["th", "nb"], "left").select(id_col, "t", "nb", "spans")
+    joined = _with_spans(keyed, scratch(spans, "lists")).select(id_col, "t", "nb", "spans")
 
     def run(texts, lists):
         removed, n, kept = [], [], []

@@ -46,7 +46,7 @@ from evalmill.llm.shingles import _BYTES, mix, powers
 
 LENGTH = 400
 GRAM = 64
-GROUP = 1024
+GROUP = 256
 #: Bits of a key that hold the place; longer texts are cut in overlapping parts.
 PLACE = 20
 _U = np.uint64

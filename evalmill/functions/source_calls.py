@@ -216,3 +216,19 @@ def decode(style: str, text: str | None) -> tuple[list | None, str | None]:
 def rendered(calls: list[dict]) -> list[str]:
     """Calls as Python source."""
     return [f"{fn}({','.join(f'{k}={v!r}' for k, v in (json.loads(args) if isinstance(args, str) else args).items())})" for call in calls for fn, args in call.items()]
+
+
+class Handler:
+    """How a model's outputs are read: as calls to compare, and as source to run."""
+
+    def __init__(self, style: str):
+        if style not in DECODERS:
+            raise ValueError(f"no style {style}")
+        self.style = style
+
+    def calls(self, text: str | None) -> list | None:
+        return decode(self.style, text)[0]
+
+    def source(self, text: str | None) -> list[str] | None:
+        found = self.calls(text)
+        return None if found is None else rendered(found)

@@ -83,3 +83,23 @@ def dag_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         done = stored(done.union(ready), "levels")
     known = done.distinct().select(F.col("id").alias("root"), "level")
     return done.union(chain.join(known, "root").select("id", (F.col("level") + F.col("dist")).alias("level")))
+
+
+def only(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``df`` with these columns alone; one that is missing raises ValueError."""
+    missing = [c for c in columns if c not in df.columns]
+    if missing:
+        raise ValueError(f"no columns {', '.join(missing)}")
+    return df.select(*columns)
+
+
+def named_with_override(rows: DataFrame, given: DataFrame, name: str, value: str) -> DataFrame:
+    """Rows whose name is in ``given``, with its value where that isn't null or 0."""
+    theirs = given.select(name, F.col(value).alias("em_given"))
+    zero = F.coalesce(F.col("em_given"), F.lit(0)) == 0
+    return rows.join(theirs, name).withColumn(value, F.when(zero, F.col(value)).otherwise(F.col("em_given"))).drop("em_given")
+
+
+def in_locale_order(df: DataFrame, name: str, tie: str, out: str = "place") -> DataFrame:
+    """``df`` with the place of each name in the order of the Unicode collation; for lists that are shown."""
+    return df.withColumn(out, F.row_number().over(Window.orderBy(F.collate(F.col(name), "UNICODE"), tie)))

@@ -9,8 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalmill.functions import code_text, prompts
-from evalmill.operators import battles, evaluation, similarity
+from evalmill.functions import code_text, prompts, source_calls
+from evalmill.functions import pages as pages_of
+from evalmill.operators import battles, evaluation, relational, retrieval, similarity
 from evalmill.plans.catalogue import STYLES, _BATTLES, _battles, _results, _scores, _SCORES
 from evalmill.plans.registry import query
 from evalmill.sources import datasets
@@ -421,6 +422,65 @@ def score_files(spark, d):
     return spark.read.text(path).groupBy("model", "category").agg(F.count("*").alias("n_lines"))
 
 
+@query("SELECT n_nationkey, n_name, row_number() OVER (ORDER BY lower(n_name), n_name, n_nationkey) AS place FROM nation")
+def locale_order(spark, d):
+    return relational.in_locale_order(table(spark, d, "nation").select("n_nationkey", "n_name"), "n_name", "n_nationkey")
+
+
+@query("SELECT n_name, CASE WHEN n_regionkey = 0 THEN n_nationkey ELSE n_regionkey END AS skill FROM nation WHERE n_nationkey < 15")
+def skills_by_name(spark, d):
+    """Rows of the names in a list, whose values go before their own unless they are 0."""
+    n = table(spark, d, "nation")
+    given = n.filter("n_nationkey < 15").select("n_name", F.col("n_regionkey").alias("skill"))
+    return relational.named_with_override(relational.only(n, ["n_name", "n_nationkey"]).withColumnRenamed("n_nationkey", "skill"), given, "n_name", "skill").select("n_name", "skill")
+
+
+@query("""WITH d AS (SELECT page_id AS k, string_split(url, '/') AS w FROM pages), q AS (SELECT page_id AS query, string_split(url, '/')[-1] AS term FROM pages WHERE page_id < 5),
+c AS (SELECT k, len(w) AS dl, term, count(*) AS f FROM (SELECT k, w, unnest(w) AS term FROM d) GROUP BY ALL), t AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM d), df AS (SELECT term, count(*) AS df FROM c GROUP BY 1),
+raw AS (SELECT term, ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS raw FROM df, t), i AS (SELECT term, CASE WHEN raw < 0 THEN (SELECT avg(raw) * 0.25 FROM raw) ELSE raw END AS idf FROM raw),
+s AS (SELECT query, k AS page_id, round(sum(idf * f * 2.5::DOUBLE / (1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl) + f)), 6) AS score FROM q JOIN i USING (term) JOIN c USING (term), t GROUP BY 1, 2)
+SELECT query, rank, page_id, url FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, page_id) AS rank FROM s) JOIN pages USING (page_id) WHERE rank <= 3""")
+def page_search(spark, d):
+    """The best pages for the last parts of some addresses, without snippets."""
+    pages = table(spark, d, "pages").select("page_id", "url", F.col("url").alias("text"))
+    asked = pages.filter("page_id < 5").select(F.col("page_id").alias("q"), F.element_at(F.split("url", "/"), -1).alias("text"))
+    return retrieval.web_search(pages, asked, "page_id", "q", lambda c: F.split(c, "/"), 3, show_snippet=False)
+
+
+@query("SELECT conv_id, turn, replace(text, chr(10), ' ') AS text FROM conversations")
+def embedding_texts(spark, d):
+    """Texts for an embedding model, in batches."""
+    c = table(spark, d, "conversations").withColumn("key", F.struct("conv_id", "turn"))
+    return retrieval.embedding_batches(c, "key", "text", 64).select("key.conv_id", "key.turn", "text")
+
+
+@query("SELECT id, kind, prompt, completion FROM (SELECT item_id AS id, text AS prompt, 'A ' || text AS completion FROM benchmark WHERE length(text) > 0), (VALUES ('jsonl'), ('parquet')) v(kind)")
+def exported_rows(spark, d):
+    """Training rows exported as JSON lines and Parquet, and read again."""
+    rows = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("instruction"), F.concat(F.lit("A "), "text").alias("cot_answer"))
+    out = None
+    for kind, end in (("jsonl", ".jsonl"), ("parquet", "")):
+        path = _place(spark, "exported") + end
+        datasets.export(rows, path, "completion", kind)
+        one = datasets.load_rows(spark, path).select("id", F.lit(kind).alias("kind"), "prompt", "completion")
+        out = one if out is None else out.union(one)
+    return out
+
+
+@query("SELECT c_custkey, 'lookup(name=''' || c_name || ''',nation=' || c_nationkey || ')' AS source FROM customer")
+def calls_as_source(spark, d):
+    """Outputs of a model read by its handler, as source to run."""
+    made = table(spark, d, "customer").select("c_custkey", F.format_string(STYLES["tagged"], "c_name", "c_nationkey").alias("text"))
+    handler = source_calls.Handler("tagged")
+    return _python_rows(made, lambda k, t: (k, handler.source(t)[0]), "c_custkey long, source string")
+
+
+@query("SELECT page_id, md5(coalesce(html, '')) AS raw_md5 FROM pages")
+def raw_pages(spark, d):
+    p = pages_of.converted(table(spark, d, "pages").select("page_id", "html"), "html", "raw")
+    return p.select("page_id", F.md5("text").alias("raw_md5"))
+
+
 # Code texts -----------------------------------------------------------------------------------------
 
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from pyspark.sql import types as T
 
 from evalmill.functions.code_text import hinted
 from evalmill.functions.prompts import category_and_format, directory_key, expand_categories
+from evalmill.operators import synthesis
 from evalmill.operators.relational import global_position
 from evalmill.sources.tables import json_lines
 
@@ -127,6 +129,53 @@ def write_boards(boards: dict[str, DataFrame], path: str) -> None:
         flat.repartition(1).sortWithinPartitions("rank").write.mode("overwrite").option("header", True).csv(f"{path}/{name}")
 
 
+def load_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of a set of data: Parquet, JSON lines or CSV by the ending of its name; other names are Parquet folders."""
+    if re.search(r"\.jsonl?$", path):
+        return spark.read.json(path)
+    return spark.read.option("header", True).csv(path) if path.endswith(".csv") else spark.read.parquet(path)
+
+
+#: Shapes of training rows, and what they are written as.
+FORMATTERS = {"rows": lambda rows: rows, "completion": synthesis.completion, "chat": synthesis.chat, "eval": synthesis.evaluation}
+EXPORTERS = {"jsonl": lambda df, path: df.write.mode("overwrite").json(path), "parquet": lambda df, path: df.write.mode("overwrite").parquet(path)}
+
+
+def export(rows: DataFrame, path: str, shape: str = "rows", kind: str = "jsonl") -> None:
+    """Training rows written in a shape of ``FORMATTERS`` and a kind of ``EXPORTERS``."""
+    if shape not in FORMATTERS or kind not in EXPORTERS:
+        raise ValueError(f"no shape {shape} or no kind {kind}")
+    EXPORTERS[kind](FORMATTERS[shape](rows), path)
+
+
+def read_sqlite(spark: SparkSession, path: str, sql: str, schema: str, rows: int = 10_000) -> DataFrame:
+    """Rows of a query on an SQLite file, read some at a time by one task; the file must be where tasks run."""
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import sqlite3
+
+        for _ in frames:
+            with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as con:
+                cursor = con.execute(sql)
+                while got := cursor.fetchmany(rows):
+                    yield pd.DataFrame(got, columns=names)
+
+    return spark.range(0, 1, 1, numPartitions=1).mapInPandas(run, schema)
+
+
+def retried(fn: Callable[[], object], attempts: int = 5, wait: float = 1.0, most: float = 60.0, sleep: Callable[[float], None] = time.sleep) -> object:
+    """What ``fn`` returns, tried again after waits that double; the last failure is raised."""
+    if attempts < 1:
+        raise ValueError("at least one attempt")
+    for k in range(attempts - 1):
+        try:
+            return fn()
+        except Exception:  # noqa: BLE001 - any failure of a source may pass
+            sleep(min(most, wait * 2**k))
+    return fn()
+
+
 _CREATE = re.compile(r"CREATE TABLE\s+`?(\w+)`?\s*\((.*)\)[^)]*$", re.DOTALL | re.IGNORECASE)
 _INSERT = re.compile(r"INSERT INTO\s+`?(\w+)`?\s*(?:\([^)]*\)\s*)?VALUES\s*(.*)$", re.DOTALL | re.IGNORECASE)
 _CELL = re.compile(r"'((?:[^'\\]|\\.|'')*)'|([^,()']+)", re.DOTALL)

@@ -153,3 +153,32 @@ def test_evaluate_from_files(spark, tmp_path, capsys):
     lines = {(r["category"], r["value"]) for r in spark.read.text(str(tmp_path / "out/scores")).collect()}
     assert {(c, json.loads(v).get("total_count"), json.loads(v).get("error_type")) for c, v in lines} == {("simple_python", 3, None), ("irrelevance", 1, None), ("simple_python", None, "value_error:others"), ("simple_python", None, "ast_decoder:decoder_failed")}
     assert shared_folder(spark)
+
+
+def test_sqlite_and_retries(spark, tmp_path):
+    import sqlite3
+
+    path = str(tmp_path / "a.db")
+    with sqlite3.connect(path) as con:
+        con.execute("CREATE TABLE t (id INT, name TEXT)")
+        con.executemany("INSERT INTO t VALUES (?, ?)", [(k, f"n{k}") for k in range(25)])
+    got = datasets.read_sqlite(spark, path, "SELECT id, name FROM t WHERE id > 4", "id long, name string", rows=7)
+    assert got.count() == 20 and got.filter("id = 5").first()["name"] == "n5"
+    waits, fails = [], iter([True, True, False])
+
+    def shaky():
+        if next(fails):
+            raise OSError("not now")
+        return "done"
+
+    assert datasets.retried(shaky, 3, 1.0, sleep=waits.append) == "done" and waits == [1.0, 2.0]
+    fails = iter([True] * 9)
+    with pytest.raises(OSError):
+        datasets.retried(shaky, 2, sleep=waits.append)
+
+
+def test_missing_columns(spark):
+    with pytest.raises(ValueError):
+        relational.only(spark.range(3), ["id", "none"])
+    with pytest.raises(ValueError):
+        datasets.export(spark.range(3), "x", "no shape")

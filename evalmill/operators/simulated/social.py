@@ -1,4 +1,8 @@
-"""Messages, posts and tickets."""
+"""Messages, posts and tickets.
+
+Names of operations and of fields, and the sentences of results, are fixed values,
+as sessions are compared by them; error texts are our own.
+"""
 
 from __future__ import annotations
 

@@ -64,12 +64,22 @@ def json_array(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("chunk"))
 
 
-def rating_file(lines: DataFrame) -> DataFrame:
-    """(category, name, rating) of (line_no, value): a header line names the category of the ratings below it."""
+def rating_file(lines: DataFrame, ranges: int = 32) -> DataFrame:
+    """(category, name, rating) of (line_no, value): a header line names the category of the ratings below it.
+
+    Lines are dealt by ranges; a range takes over the last header before it, so
+    that no task holds all lines.
+    """
     rating = r"^(.+):\s+(\d+\.\d+)\s*$"
     header = F.when(~F.col("value").rlike(rating) & (F.trim("value") != ""), F.regexp_replace(F.trim("value"), ":$", ""))
-    held = lines.withColumn("category", F.last(header, ignorenulls=True).over(Window.orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)))
-    return held.filter(F.col("value").rlike(rating)).select("category", F.trim(F.regexp_extract("value", rating, 1)).alias("name"), F.regexp_extract("value", rating, 2).cast("double").alias("rating"))
+    dealt = lines.repartitionByRange(ranges, "line_no").withColumns({"em_range": F.spark_partition_id(), "em_head": header})
+    dealt = stored(dealt, "lines")
+    inside = F.last("em_head", ignorenulls=True).over(Window.partitionBy("em_range").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
+    ends = dealt.groupBy("em_range").agg(F.max_by("em_head", F.when(F.col("em_head").isNotNull(), F.col("line_no"))).alias("em_last"))  # a row a range
+    before = F.last("em_last", ignorenulls=True).over(Window.orderBy("em_range").rowsBetween(Window.unboundedPreceding, -1))
+    held = dealt.withColumn("em_in", inside).join(F.broadcast(ends.select("em_range", before.alias("em_before"))), "em_range")
+    found = held.filter(F.col("value").rlike(rating))
+    return found.select(F.coalesce("em_in", "em_before").alias("category"), F.trim(F.regexp_extract("value", rating, 1)).alias("name"), F.regexp_extract("value", rating, 2).cast("double").alias("rating"))
 
 
 def jdbc(spark: SparkSession, url: str, query: str, **options: str) -> DataFrame:

@@ -179,69 +179,6 @@ def standardize(text: str) -> str:
     return re.sub(r"[ ,./\-_*^]", "", text).lower().replace("'", '"')
 
 
-_TYPES = {"string": str, "integer": int, "float": float, "boolean": bool, "array": list, "tuple": list, "dict": dict, "any": str}
-
-
-def _same(value: Any, allowed: list[Any]) -> bool:
-    """``value`` is one of ``allowed``, texts compared standardised, dicts key by key with ``""`` as an optional key."""
-    norm = lambda x: standardize(x) if isinstance(x, str) else [norm(y) for y in x] if isinstance(x, list | tuple) else {k: norm(v) for k, v in x.items()} if isinstance(x, dict) else x
-    if isinstance(value, dict):
-        return any(isinstance(a, dict) and all(k in a for k in value) and all((k in value and norm(value[k]) in [norm(v) for v in vs]) or (k not in value and "" in vs) for k, vs in a.items()) for a in allowed)
-    if isinstance(value, list) and value and all(isinstance(x, dict) for x in value):
-        return any(isinstance(a, list) and len(a) == len(value) and all(_same(x, [y]) for x, y in zip(value, a, strict=True)) for a in allowed)
-    return norm(value) in [norm(a) for a in allowed]
-
-
-def check_simple(doc: dict, call: dict, truth: dict) -> tuple[bool, str | None]:
-    """(valid, error type); the first failing rule decides."""
-    name = doc["name"]
-    expected = next(iter(truth.values()))
-    props, required = doc["parameters"]["properties"], doc["parameters"].get("required", [])
-    if name not in call:
-        return False, "simple_function_checker:wrong_func_name"
-    params = call[name]
-    if any(r not in params for r in required):
-        return False, "simple_function_checker:missing_required"
-    for p, v in params.items():
-        if p not in props or p not in expected:
-            return False, "simple_function_checker:unexpected_param"
-        kind = _TYPES[props[p]["type"]]
-        if isinstance(v, tuple):
-            v = list(v)
-        if kind is float and type(v) is int:
-            v = float(v)
-        known = [x for x in expected[p] if x != ""]
-        variable = bool(known) and type(v) is type(known[0]) and type(v) is not kind
-        if type(v) is not kind and not variable:
-            return False, "type_error:simple"
-        if not _same(v, expected[p]):
-            return False, f"value_error:{'string' if isinstance(v, str) else 'list/tuple' if isinstance(v, list) else 'dict_value' if isinstance(v, dict) else 'others'}"
-    for p, allowed in expected.items():
-        if p not in params and "" not in allowed:
-            return False, "simple_function_checker:missing_optional"
-    return True, None
-
-
-def check_calls(docs: list[dict], calls: list[dict], truths: list[dict], category: str) -> tuple[bool, str | None]:
-    """By category: parallel calls in any order with greedy matching, one of multiple functions, or a single call."""
-    by = {d["name"]: d for d in docs}
-    if not is_call_format(calls):
-        return False, "ast_decoder:decoder_wrong_output_format"
-    if "parallel" not in category:
-        if len(calls) != len(truths if "multiple" in category else truths[:1]):
-            return False, f"{'multiple' if 'multiple' in category else 'simple'}_function_checker:wrong_count"
-        return check_simple(by[next(iter(truths[0]))], calls[0], truths[0])
-    if len(calls) != len(truths):
-        return False, "parallel_function_checker_no_order:wrong_count"
-    free = list(range(len(calls)))
-    for t in truths:
-        hit = next((i for i in free if check_simple(by[next(iter(t))], calls[i], t)[0]), None)
-        if hit is None:
-            return False, "parallel_function_checker_no_order:cannot_find_match"
-        free.remove(hit)
-    return True, None
-
-
 def is_call_format(calls: Any) -> bool:
     """A list of dicts of one name and its arguments, a dict each."""
     return isinstance(calls, list) and all(isinstance(c, dict) and len(c) == 1 and isinstance(next(iter(c.values())), dict) for c in calls)
@@ -261,4 +198,4 @@ def canon(value: Any) -> str:
     return json.dumps(value, sort_keys=True, ensure_ascii=False, default=str)
 
 
-__all__ = ["DECODERS", "canon", "check_calls", "check_simple", "is_call_format", "is_empty", "is_executable", "java_value", "js_value", "parse_json", "parse_python", "parse_tagged", "parse_two_lines", "parse_xml", "standardize", "typed"]
+__all__ = ["DECODERS", "canon", "is_call_format", "is_empty", "is_executable", "java_value", "js_value", "parse_json", "parse_python", "parse_tagged", "parse_two_lines", "parse_xml", "standardize", "typed"]

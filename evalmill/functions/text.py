@@ -130,3 +130,14 @@ def category_group(c: Column) -> Column:
         .when(c.contains("multi_turn"), "multi_turn")
         .otherwise("agentic")
     )
+
+
+def category_predicates(c: Column) -> dict[str, Column]:
+    """What a test category is, by name."""
+    has = c.contains
+    agentic, multi = has("web_search") | has("memory"), has("multi_turn")
+    return {
+        "format_sensitivity": has("format_sensitivity"), "web_search": has("web_search"), "memory": has("memory"), "memory_prereq": has("prereq"), "first_memory_prereq": has("prereq") & c.endswith("-0"), "agentic": agentic, "multi_turn": multi, "live": has("live"),
+        "non_live": ~(has("format_sensitivity") | agentic | multi | has("live")), "multi_turn_irrelevance": has("miss_func") | has("miss_param"), "executable": has("exec") | has("rest"), "rest": has("rest"), "relevance": has("relevance"), "chatable": has("chatable"),
+        "java": has("java") & ~has("javascript"), "javascript": has("javascript"), "sql": has("sql"), "multi_turn_interaction": multi | agentic,
+    }

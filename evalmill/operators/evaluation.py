@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from evalmill.functions import calls as C
 from evalmill.functions import source_calls
+from evalmill.functions.checking import check_calls
 from evalmill.functions.text import category_group, contains_answer
 from evalmill.operators import scoring
 
@@ -67,10 +68,8 @@ def call_entries(rows: DataFrame, text: str = "result", style: str = "style", ca
         found, error = source_calls.decode(how, result)
         if error:
             return False, error
-        functions = json.loads(functions)
-        if how in ("java", "javascript"):
-            found = source_calls.typed_source(found, functions, how)
-        return C.check_calls(functions, found, json.loads(expected), kind)
+        language = how if how in ("java", "javascript") else "python"
+        return check_calls(json.loads(functions), found, json.loads(expected), kind, language)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:

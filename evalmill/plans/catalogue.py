@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from evalmill.functions import calls as C
 from evalmill.functions import schemas, source_calls
 from evalmill.functions import text as X
+from evalmill.functions.checking import check_calls
 from evalmill.operators import actions, battles, conversation, relational, retrieval, scoring, services, similarity, synthesis
 from evalmill.functions import pages as P
 from evalmill.plans.registry import ORACLE, QUERIES, query
@@ -439,7 +440,10 @@ def stream_success_rate_30m(spark, d):
     return rates.newest_windows(rates.success_rate(events), name).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
-@query()
+#: Scripts, styles, comments and tags part the texts; the references that the pages hold are named.
+@query(r"""WITH m AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?s)<(script|style)\b[^>]*>.*?</(script|style)>', chr(1), 'g'), '(?s)<!--.*?-->', chr(1), 'g'), '</?[A-Za-z!][^>]*>', chr(1), 'g') AS t FROM pages),
+p AS (SELECT page_id, list_transform(string_split(t, chr(1)), lambda x: regexp_replace(regexp_replace(replace(replace(replace(replace(replace(x, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g'), '^\s+|\s+$', '', 'g')) AS p FROM m)
+SELECT page_id, array_to_string(list_filter(p, lambda x: x <> ''), chr(10)) AS text FROM p""")
 def html_to_text(spark, d):
     """Text of pages without scripts and styles, a node a line."""
     return P.converted(table(spark, d, "pages").select("page_id", "html"), "html", "truncate")
@@ -457,7 +461,7 @@ def decode_and_check_calls(spark, d):
             rows = []
             for k, out, name, nation in zip(pdf["c_custkey"], pdf["output"], pdf["c_name"], pdf["c_nationkey"], strict=True):
                 calls = C.parse_python(out)
-                ok, error = C.check_calls([doc], calls, [{"lookup": {"name": [name.lower()], "nation": [int(nation)], "vip": [True, ""]}}], "simple")
+                ok, error = check_calls([doc], calls, [{"lookup": {"name": [name.lower()], "nation": [int(nation)], "vip": [True, ""]}}], "simple")
                 rows.append((k, ok, error, C.canon(calls)))
             yield pd.DataFrame(rows, columns=["c_custkey", "valid", "error_type", "decoded"])
 

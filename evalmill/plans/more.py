@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from evalmill.functions import code_text, prompts, source_calls
 from evalmill.functions import pages as pages_of
+from evalmill.functions.checking import check_call
+from evalmill.functions.text import category_predicates
 from evalmill.operators import battles, evaluation, relational, retrieval, similarity
 from evalmill.plans.catalogue import STYLES, _BATTLES, _battles, _results, _scores, _SCORES
 from evalmill.plans.registry import query
@@ -199,6 +201,38 @@ def api_call_slices(spark, d):
     return table(spark, d, "customer").select("c_custkey", code_text.api_call_slice(t).alias("call"))
 
 
+@query("""SELECT c AS category, c IN ('memory_kv', 'memory_vector', 'memory_rec_sum') AS memory, c LIKE 'live%' AS live, c IN ('simple_python', 'simple_java', 'simple_javascript', 'multiple', 'parallel', 'parallel_multiple', 'irrelevance') AS non_live,
+c = 'simple_java' AS java, c = 'simple_javascript' AS javascript, c LIKE '%relevance' AS relevance, c IN ('multi_turn_miss_func', 'multi_turn_miss_param') AS multi_turn_irrelevance, c LIKE 'multi_turn%' OR c LIKE 'memory%' OR c LIKE 'web_search%' AS multi_turn_interaction
+FROM (SELECT unnest(['simple_python', 'simple_java', 'simple_javascript', 'multiple', 'parallel', 'parallel_multiple', 'irrelevance', 'live_simple', 'live_multiple', 'live_parallel', 'live_parallel_multiple', 'live_irrelevance', 'live_relevance', 'multi_turn_base', 'multi_turn_miss_func', 'multi_turn_miss_param', 'multi_turn_long_context', 'memory_kv', 'memory_vector', 'memory_rec_sum', 'web_search_base', 'web_search_no_snippet', 'format_sensitivity']) AS c)""")
+def category_kinds(spark, d):
+    """What each test category is."""
+    p = category_predicates(F.col("category"))
+    return spark.createDataFrame([(n,) for n in prompts.expand_categories(["all"])], "category string").select("category", *[p[k].alias(k) for k in ("memory", "live", "non_live", "java", "javascript", "relevance", "multi_turn_irrelevance", "multi_turn_interaction")])
+
+
+#: A value, what is allowed, its declared type and that of its items, and the error.
+_CHECKED = [
+    ('"New York"', '["new-york"]', "string", "", None), ('"x"', '["y"]', "string", "", "value_error:string"), ("1", '["y"]', "string", "", "type_error:simple"), ('"n"', '["n"]', "integer", "", None), ("[1, 2]", "[[1, 2]]", "array", "integer", None), ('[1, "2"]', "[[1, 2]]", "array", "integer", "type_error:nested"),
+    ('["b"]', '[["ab"]]', "array", "string", "value_error:list/tuple"), ('{"k": "A"}', '[{"k": ["a"]}]', "dict", "", None), ('{"q": 1}', '[{"k": ["a", ""]}]', "dict", "", "value_error:dict_key"), ('{"k": "b"}', '[{"k": ["a"]}]', "dict", "", "value_error:dict_value"), ('[{"k": 1}, {"k": 2}]', '[[{"k": [1]}]]', "array", "dict", "value_error:list_dict_count"),
+    ("2", "[1]", "integer", "", "value_error:others"), ("1", "[1.0]", "float", "", None),
+]
+
+
+@query("SELECT c_custkey, i, error FROM customer, (VALUES " + ", ".join(f"({i}, {'NULL' if c[4] is None else repr(c[4])})" for i, c in enumerate(_CHECKED)) + ") v(i, error)")
+def checked_arguments(spark, d):
+    """Arguments of every type held against allowed values, and the first error."""
+    cases = spark.createDataFrame([(i, *c[:4]) for i, c in enumerate(_CHECKED)], "i int, value string, allowed string, kind string, items string")
+    rows = table(spark, d, "customer").select("c_custkey").crossJoin(F.broadcast(cases))
+
+    def one(key, i, value, allowed, kind, items):
+        import json
+
+        doc = {"name": f"f{key}", "parameters": {"properties": {"x": {"type": kind} | ({"items": {"type": items}} if items else {})}}}
+        return key, i, check_call(doc, {f"f{key}": {"x": json.loads(value)}}, {f"f{key}": {"x": json.loads(allowed)}})
+
+    return _python_rows(rows, one, "c_custkey long, i int, error string")
+
+
 # Prompts and messages -------------------------------------------------------------------------------
 
 
@@ -555,3 +589,36 @@ def sentence_bleu_methods(spark, d):
     rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("hyp")).join(b, "id").select("id", "ref", "hyp", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("method"))
     return _python_rows(rows, lambda i, r, h, m: (i, m, round(similarity.sentence_bleu([r.split(" ")], h.split(" "), method=m), 8)), "id long, method int, bleu double")
 
+
+_SMOOTHED = """WITH b AS (SELECT p_partkey, p_size % 5 AS h1, p_size % 3 AS h2, p_size % 2 AS h3, 0 AS h4, 8::DOUBLE AS l1, 7::DOUBLE AS l2, 6::DOUBLE AS l3, 5::DOUBLE AS l4, p_size + 2 AS n FROM part),
+p AS (SELECT *, h1 / l1 AS p1, h2 / l2 AS p2, h3 / l3 AS p3, h4 / l4 AS p4 FROM b),
+f AS (SELECT *, CASE WHEN p1 = 0 THEN (0 + 5 / ln(n)) / l1 ELSE p1 END AS q1, CASE WHEN p2 = 0 THEN (1 + 5 / ln(n)) / l2 ELSE p2 END AS q2, CASE WHEN p3 = 0 THEN (2 + 5 / ln(n)) / l3 ELSE p3 END AS q3, CASE WHEN p4 = 0 THEN (3 + 5 / ln(n)) / l4 ELSE p4 END AS q4,
+  CAST(p1 = 0 AS INT) AS z1, CAST(p1 = 0 AS INT) + CAST(p2 = 0 AS INT) AS z2, CAST(p1 = 0 AS INT) + CAST(p2 = 0 AS INT) + CAST(p3 = 0 AS INT) AS z3, CAST(p1 = 0 AS INT) + CAST(p2 = 0 AS INT) + CAST(p3 = 0 AS INT) + 1 AS z4 FROM p),
+g AS (SELECT *, (p1 + 1 + p1 + p2) / 3 AS a1, (q1 + 1 + q1 + q2) / 3 AS c1, (h3 + 5 * CASE WHEN p1 = 0 THEN 0 ELSE p2 * p2 / p1 END) / (l3 + 5) AS s3 FROM f),
+h AS (SELECT *, (a1 + p2 + p3) / 3 AS a2, (c1 + q2 + q3) / 3 AS c2, (h4 + 5 * CASE WHEN p2 = 0 THEN 0 ELSE s3 * s3 / p2 END) / (l4 + 5) AS s4 FROM g),
+i AS (SELECT *, (a2 + p3 + p4) / 3 AS a3, (c2 + q3 + q4) / 3 AS c3 FROM h), j AS (SELECT *, (a3 + p4 + 0.25::DOUBLE) / 3 AS a4, (c3 + q4 + 0.25::DOUBLE) / 3 AS c4 FROM i),
+m AS (SELECT p_partkey, unnest([0, 1, 2, 3, 4, 5, 6, 7]) AS method, unnest([[p1, p2, p3, p4], [CASE WHEN p1 = 0 THEN 0.1 / l1 ELSE p1 END, CASE WHEN p2 = 0 THEN 0.1 / l2 ELSE p2 END, CASE WHEN p3 = 0 THEN 0.1 / l3 ELSE p3 END, CASE WHEN p4 = 0 THEN 0.1 / l4 ELSE p4 END],
+  [(h1 + 1) / (l1 + 1), (h2 + 1) / (l2 + 1), (h3 + 1) / (l3 + 1), (h4 + 1) / (l4 + 1)], [CASE WHEN p1 = 0 THEN 1 / (2 ** z1 * l1) ELSE p1 END, CASE WHEN p2 = 0 THEN 1 / (2 ** z2 * l2) ELSE p2 END, CASE WHEN p3 = 0 THEN 1 / (2 ** z3 * l3) ELSE p3 END, CASE WHEN p4 = 0 THEN 1 / (2 ** z4 * l4) ELSE p4 END],
+  [q1, q2, q3, q4], [a1, a2, a3, a4], [p1, p2, s3, s4], [c1, c2, c3, c4]]) AS p FROM j)
+SELECT p_partkey, method, list_transform(p, lambda x: round(x, 8)) AS p FROM m"""
+
+
+@query(_SMOOTHED)
+def smoothing_methods(spark, d):
+    """Precisions of four orders smoothed by all methods."""
+    rows = table(spark, d, "part").select("p_partkey", "p_size", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("method"))
+    return _python_rows(rows, lambda k, s, m: (k, m, [round(x, 8) for x in similarity.smooth([s % 5, s % 3, s % 2, 0], [8, 7, 6, 5], m, s + 2, (1, 4))]), "p_partkey long, method int, p array<double>")
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 1.0 ELSE 0.5 END::DOUBLE AS syntax, CASE WHEN p_size % 3 = 0 THEN 1.0 ELSE 0.5 END::DOUBLE AS flow FROM part")
+def code_matches(spark, d):
+    """Shares of subtrees and of data flow that two pieces of code have in common."""
+    rows = table(spark, d, "part").select("p_partkey", "p_size")
+
+    def one(key, size):
+        # trees: Module(Expr(Call)), Expr(Call), Call, and Module(Assign(...)), Assign(...): names and values don't count
+        syntax = similarity.syntax_match(f"f(x={size})", f"g(y={size + 1})" if size % 2 == 0 else "x = g(y=1)")
+        flow = similarity.data_flow_match("a = b\nc = a", f"x{size} = y\nz = x{size}" if size % 3 == 0 else f"x{size} = y\nz = 1")
+        return key, syntax, flow
+
+    return _python_rows(rows, one, "p_partkey long, syntax double, flow double")

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evalmill.functions import calls as C
+from evalmill.functions.checking import check_call, check_calls
 from evalmill.functions import text as X
 from evalmill.operators import similarity as S
 
@@ -39,13 +40,13 @@ DOC = {"name": "f", "parameters": {"properties": {"a": {"type": "integer"}, "s":
 
 @pytest.mark.parametrize(("call", "truth", "ok"), [({"f": {"a": 1}}, {"a": [1], "s": ["", "p"]}, True), ({"f": {"a": True}}, {"a": [1]}, False), ({"f": {"a": 1, "s": "New-York"}}, {"a": [1], "s": ["new york"]}, True), ({"f": {"a": 1}}, {"a": [1], "s": ["p"]}, False), ({"f": {"s": "p"}}, {"a": [1], "s": ["p"]}, False), ({"f": {"a": 1, "x": 2}}, {"a": [1], "x": [2.0]}, True), ({"g": {"a": 1}}, {"a": [1]}, False)])
 def test_check_simple(call, truth, ok):
-    assert C.check_simple(DOC, call, {"f": truth})[0] is ok
+    assert (check_call(DOC, call, {"f": truth}) is None) is ok
 
 
 def test_parallel_is_greedy():
     truths = [{"f": {"a": [1, 2]}}, {"f": {"a": [1]}}]
-    assert not C.check_calls([DOC], [{"f": {"a": 1}}, {"f": {"a": 2}}], truths, "parallel")[0]
-    assert C.check_calls([DOC], [{"f": {"a": 2}}, {"f": {"a": 1}}], truths, "parallel")[0]
+    assert not check_calls([DOC], [{"f": {"a": 1}}, {"f": {"a": 2}}], truths, "parallel")[0]
+    assert check_calls([DOC], [{"f": {"a": 2}}, {"f": {"a": 1}}], truths, "parallel")[0]
 
 
 def test_bleu_goldens():
@@ -79,3 +80,34 @@ def test_text_columns(spark):
     assert one(spark, X.category_of(F.col("t")), t="live_parallel_3-1-0:cfg") == "live_parallel"
     assert one(spark, X.fixed_chunks(F.col("t"), 2), t="abcde") == ["ab", "cd", "e"]
     assert one(spark, X.fixed_chunks(F.col("t"), 2), t="") == []
+
+
+def case(kind, value, allowed, items=None, language="python"):
+    doc = {"name": "a.f", "parameters": {"properties": {"x": {"type": kind} | ({"items": {"type": items}} if items else {})}, "required": []}}
+    return check_call(doc, {"a.f": {"x": value}}, {"a.f": {"x": allowed}}, language)
+
+
+@pytest.mark.parametrize(("args", "error"), [
+    (("string", "New York", ["new-york"]), None), (("string", "x", ["y"]), "value_error:string"), (("string", 1, ["y"]), "type_error:simple"), (("integer", True, [1]), "type_error:simple"), (("integer", 1, [1, ""]), None), (("float", 1, [1.0]), None), (("integer", 1.0, [1]), "type_error:simple"),
+    (("integer", "n", ["n"]), None), (("integer", "N", ["n"]), "value_error:others"), (("boolean", False, [True]), "value_error:others"), (("array", [1, 2], [[1, 2]], "integer"), None), (("array", [1, "2"], [[1, 2]], "integer"), "type_error:nested"), (("array", ["A b"], [["ab"]], "string"), None),
+    (("array", ["b"], [["ab"]], "string"), "value_error:list/tuple"), (("array", [], ["", [1]], "integer"), None), (("array", (1, 2), [[1, 2]], "integer"), "type_error:simple"), (("tuple", (1, 2), [[1, 2]], "integer"), None),
+    (("dict", {"k": "A"}, [{"k": ["a"], "o": ["", 1]}]), None), (("dict", {"q": 1}, [{"k": ["a", ""]}]), "value_error:dict_key"), (("dict", {"k": "b"}, [{"k": ["a"]}]), "value_error:dict_value"), (("dict", {}, [{"k": ["a"]}]), "value_error:dict_key"), (("dict", {"k": "b"}, [{"k": ["a"]}, {"k": ["b"]}]), None),
+    (("array", [{"k": 1}], [[{"k": [1]}]], "dict"), None), (("array", [{"k": 1}, {"k": 2}], [[{"k": [1]}]], "dict"), "value_error:list_dict_count"), (("array", [{"k": 2}], [[{"k": [1]}]], "dict"), "value_error:dict_value"),
+    (("ArrayList", "new ArrayList<>(Arrays.asList(1, 2))", [[1, 2]], "integer", "java"), None), (("integer", "7", [7], None, "java"), None), (("integer", 7, [7], None, "java"), "type_error:java"), (("dict", "{a: 1}", [{"a": [1]}], None, "javascript"), None), (("Boolean", 1, [True], None, "javascript"), "type_error:js"),
+])
+def test_arguments_are_checked(args, error):
+    assert case(*args) == error
+
+
+def test_calls_are_checked():
+    docs = [{"name": n, "parameters": {"properties": {"x": {"type": "integer"}}, "required": ["x"]}} for n in ("a.f", "g")]
+    f, g = {"a.f": {"x": 1}}, {"g": {"x": 2}}
+    truths = [{"a.f": {"x": [1]}}, {"g": {"x": [2]}}]
+    assert check_calls(docs, [g, f], truths, "parallel_multiple") == (True, None) and check_calls(docs, [f, g], truths, "parallel", ordered=True) == (True, None)
+    assert check_calls(docs, [g, f], truths, "parallel", ordered=True)[1] == "simple_function_checker:wrong_func_name" and check_calls(docs, [f], truths, "parallel", ordered=True)[1] == "parallel_function_checker_enforce_order:wrong_count"
+    assert check_calls(docs, [f, f], truths, "parallel")[1] == "parallel_function_checker_no_order:cannot_find_match" and check_calls(docs, [f], truths, "parallel")[1] == "parallel_function_checker_no_order:wrong_count"
+    assert check_calls(docs, [g], truths[1:], "multiple") == (True, None) and check_calls(docs, [g, g], truths[1:], "multiple")[1] == "multiple_function_checker:wrong_count" and check_calls(docs, [], truths[:1], "simple_python")[1] == "simple_function_checker:wrong_count"
+    assert check_calls(docs, [{"a_f": {"x": 1}}], truths[:1], "simple_python", dots=False) == (True, None) and check_calls(docs, [{"a_f": {"x": 1}}], truths[:1], "simple_python")[1] == "simple_function_checker:wrong_func_name"
+    assert check_calls(docs, ["a.f(x=1)"], truths[:1], "simple_python")[1] == "ast_decoder:decoder_wrong_output_format"
+    assert check_calls(docs, [{"a.f": {}}], truths[:1], "simple_python")[1] == "simple_function_checker:missing_required" and check_calls(docs, [{"a.f": {"x": 1, "y": 2}}], truths[:1], "simple_python")[1] == "simple_function_checker:unexpected_param"
+    assert check_calls(docs, [f], [{"a.f": {"x": [1], "z": ["needed"]}}], "simple_python")[1] == "simple_function_checker:missing_optional"

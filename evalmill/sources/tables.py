@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import re
 import tempfile
 import uuid
@@ -38,10 +39,27 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_stored: list[tuple] = []
+
+
+def _clean() -> None:
+    """Delete what ``stored`` wrote; the JVM may be gone already."""
+    for sc, path in _stored:
+        try:
+            at = sc._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # noqa: BLE001 - nothing more can be done at exit
+            return
+
+
+atexit.register(_clean)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Written below the shared folder and read again, so that loops don't grow their lineage."""
+    """Written below the shared folder and read again, so that loops don't grow their lineage; deleted at exit."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/evalmill/{name}-{uuid.uuid4().hex}"
+    _stored.append((spark.sparkContext, path))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -15,7 +15,7 @@ from evalmill.functions.checking import check_calls
 from evalmill.operators import actions, battles, conversation, relational, retrieval, scoring, services, similarity, synthesis
 from evalmill.functions import pages as P
 from evalmill.plans.registry import ORACLE, QUERIES, query
-from evalmill.sources.tables import shared_folder, stored, table
+from evalmill.sources.tables import shared_folder, spread, stored, table
 from evalmill.streaming import rates
 
 #: Weights of the categories in the overall score.
@@ -280,14 +280,14 @@ idf AS (SELECT term, CASE WHEN raw < 0 THEN fl ELSE raw END AS idf FROM raw, fl)
 s AS (SELECT item_id AS query, doc_id AS doc, round(sum(qf * idf * f * 2.5::DOUBLE / (1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl) + f)), 6) AS score FROM q JOIN idf USING (term) JOIN tf USING (term) JOIN dl USING (doc_id), t GROUP BY 1, 2)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM s) WHERE rank <= 10""")
 def bm25_topk(spark, d):
-    return retrieval.bm25(table(spark, d, "documents"), table(spark, d, "benchmark"), "doc_id", "item_id", lambda c: F.split(c, " "))
+    return retrieval.bm25(spread(table(spark, d, "documents").select("doc_id", "text")), table(spark, d, "benchmark"), "doc_id", "item_id", lambda c: F.split(c, " "))
 
 
 @query(_BM25 + """idf AS (SELECT term, ln((n + 1) / df::DOUBLE) AS idf FROM df, t),
 s AS (SELECT item_id AS query, doc_id AS doc, round(sum(qf * idf * (f * 2.5::DOUBLE / (1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl) + f) + 1)), 6) AS score FROM q JOIN idf USING (term) JOIN tf USING (term) JOIN dl USING (doc_id), t GROUP BY 1, 2)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM s) WHERE rank <= 10""")
 def bm25plus_topk(spark, d):
-    return retrieval.bm25(table(spark, d, "documents"), table(spark, d, "benchmark"), "doc_id", "item_id", lambda c: F.split(c, " "), plus=True)
+    return retrieval.bm25(spread(table(spark, d, "documents").select("doc_id", "text")), table(spark, d, "benchmark"), "doc_id", "item_id", lambda c: F.split(c, " "), plus=True)
 
 
 @query("""WITH s AS (SELECT q.vec_id AS query, v.vec_id AS doc, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0)

@@ -28,6 +28,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Rows of a plain scan dealt out evenly, if it has fewer partitions than there are cores: a small file can't be split, but what is done with its texts can.
+
+    At most as many partitions' bytes as cores are shuffled; larger inputs stay as they are.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan._jdf.queryExecution().toRdd().getNumPartitions() < cores else scan
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; one of our own only where none is set and all run in one process."""
     base = spark.conf.get("spark.checkpoint.dir", None)

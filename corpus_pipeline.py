@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from evalmill.llm import bpe, decontam, minhash, secret_scan, toxicity
 from evalmill.llm.common import crc_mod, read_table, scratch
+from evalmill.sources.tables import spread
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +61,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each stage's rows written and read again."""
-    docs = read_table(spark, sf_dir, "documents")
+    docs = spread(read_table(spark, sf_dir, "documents"))
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):

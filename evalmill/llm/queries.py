@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from evalmill.llm import bpe, decontam, langid, minhash, pitman_yor, quality, secret_scan, suffix_repeats, toxicity, warc
 from evalmill.llm.common import crc_mod, read_table
+from evalmill.sources.tables import spread
 
 
 def _docs(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
-    return read_table(spark, sf_dir, "documents").select("doc_id", "text", *cols)
+    return spread(read_table(spark, sf_dir, "documents").select("doc_id", "text", *cols))
 
 
 def op1_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,7 +28,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_warc_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written as monolithic gzip archives, rewritten member by member, and read back by the index."""
-    pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    pages = spread(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return warc.round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -424,6 +424,45 @@ def test_gibbs_moves_keep_the_distribution_of_tables():
     assert np.abs(got - weight / weight.sum()).max() < 0.015
 
 
+@pytest.mark.parametrize("start", [1, 40])
+def test_a_sweep_moves_every_customer(start):
+    d, p, o, c, n = 0.6, 0.05, 30, 40, 20_000
+    s, move = stirling(d, c), np.zeros((c + 1, c + 1))
+    new = lambda left: (1 + d * (o + left)) * p / ((1 + d * (o + left)) * p + c - 1 - d * left)
+    for t in range(1, c + 1):
+        lone = s.get((c - 1, t - 1), 0.0) / s[c, t]
+        for left, chance in ((t - 1, lone), (t, 1 - lone)):
+            if chance > 0:
+                move[t, left + 1] += chance * new(left)
+                move[t, left] += chance * (1 - new(left))
+    want = np.linalg.matrix_power(move, c)[start]  # as many moves as customers
+    t = pitman_yor.sweep(np.full(n, c), np.full(n, start), np.full(n, o), np.full(n, p), d, pitman_yor.mix(np.arange(n, dtype=np.uint64)), 1)
+    assert np.abs(np.bincount(t, minlength=c + 1) / n - want).max() < 0.015
+
+
+@pytest.mark.parametrize("d", [0.1, 0.5, 0.9])
+def test_chance_to_sit_alone_of_many_customers(d):
+    t, log = np.arange(61), np.full(61, -np.inf)
+    log[1] = 0.0
+    for c in range(2, 2001):  # S(c, t) and S(c - 1, t - 1)
+        lone = np.concatenate([[-np.inf], log[:-1]])
+        log = np.logaddexp(lone, np.where(t < c, np.log(np.maximum(c - 1 - d * t, 1e-300)) + log, -np.inf))
+    exact = np.exp(lone[2:] - log[2:])
+    assert np.abs(pitman_yor.alone(np.full(59, 2000), t[2:], d) / exact - 1).max() < 0.15
+
+
+def test_dishes_that_move_by_themselves_move_alike(monkeypatch):
+    rng = np.random.default_rng(4)
+    n = 300
+    c = np.minimum(rng.zipf(1.3, n), 50_000)
+    args = (c, np.maximum(1, (c**0.6).astype(np.int64)), rng.integers(0, 5000, n), 10.0 ** -rng.uniform(0.1, 6, n), 0.7, pitman_yor.mix(np.arange(n, dtype=np.uint64)), 3)
+    some = [pitman_yor.sweep(*args)]
+    for few in (0, n):
+        monkeypatch.setattr(pitman_yor, "FEW", few)
+        some.append(pitman_yor.sweep(*args))
+    assert some[0].tolist() == some[1].tolist() == some[2].tolist()
+
+
 def test_spelling_sums_to_one():
     counts = np.zeros(pitman_yor.SYMBOLS**2, dtype=np.int64)
     cell, owner = pitman_yor.spelled(np.frombuffer("abcabé".encode(), dtype=np.uint8), np.array([3, 0, 4]))

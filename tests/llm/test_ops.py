@@ -159,6 +159,28 @@ def test_suffix_repeats(spark, group):
     assert suffix_repeats.removal(df.limit(0)).count() == 0
 
 
+def test_near_copies_in_large_groups_make_few_rows(spark, monkeypatch):
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) for _ in range(300)]
+    base, texts, made = rng.choices(words, k=160), [], []
+    for _ in range(60):
+        near = list(base)
+        for _ in range(rng.randrange(1, 4)):
+            near[rng.randrange(len(near))] = rng.choice(words)
+        texts.append(" ".join(near))
+    joined = suffix_repeats.joined_by_key
+
+    def counted(*args):
+        made.append(joined(*args))
+        return made[-1].cache()
+
+    monkeypatch.setattr(suffix_repeats, "joined_by_key", counted)
+    found = suffix_repeats.removal(docs(spark, texts), group=3)
+    got = by_id(found.withColumn("h", F.sha2("kept", 256)), "n_bytes", "n_removed", "n_spans", "h")
+    assert [got[i] for i in range(len(texts))] == suffix_repeats.brute_force(texts)
+    assert max(x.count() for x in made) < 8 * len(texts)
+
+
 @pytest.mark.parametrize("group", [suffix_repeats.GROUP, 4])
 def test_repeat_groups_have_every_occurrence(spark, group):
     texts = repeating_texts()
